@@ -6,7 +6,7 @@ import importlib
 
 from tallyweave.catalog.base import Entry
 
-MODULES = ("mapping",)
+MODULES = ("mapping", "figures")
 
 
 def entries() -> dict[str, Entry]:
