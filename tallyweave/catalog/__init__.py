@@ -6,7 +6,7 @@ import importlib
 
 from tallyweave.catalog.base import Entry
 
-MODULES = ("mapping", "figures")
+MODULES = ("mapping", "figures", "findings")
 
 
 def entries() -> dict[str, Entry]:

@@ -40,8 +40,10 @@ def plain_number(c: Column) -> Column:
     return F.when(s.rlike(_PLAIN_NUMBER), s.try_cast("double"))
 
 
-def parse_money(c: Column) -> Column:
-    """Tape money: commas removed; blank, NaN or garbage counts as 0."""
+def parse_money(c: Column, numeric: bool = False) -> Column:
+    """Tape money: commas removed; blank, NaN or garbage counts as 0. A numeric column skips the text work."""
+    if numeric:
+        return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
     return F.coalesce(plain_number(F.replace(c.cast("string"), F.lit(","), F.lit(""))), F.lit(0.0))
 
 

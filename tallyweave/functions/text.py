@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Python's str.strip() also removes tabs and line ends, unlike trim().
-_EDGE_SPACE = r"^\s+|\s+$"
+# trim() alone would leave tabs and line ends.
+_EDGE_SPACE = " \t\n\r\f\x0b"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_EDGE_SPACE))
 
 
 def clean(c: Column) -> Column:

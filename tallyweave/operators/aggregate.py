@@ -10,7 +10,7 @@ from tallyweave.config import CategoryRule, TapeColumns
 from tallyweave.functions.dates import month_key
 from tallyweave.functions.money import exact_sum, parse_amount, to_double, total
 from tallyweave.functions.text import strip
-from tallyweave.operators.normalize import category, negative_sign, outstanding, signed_parts
+from tallyweave.operators.normalize import category, with_money
 from tallyweave.schema import DIR_IN, DIR_OUT
 
 
@@ -125,14 +125,7 @@ def statement_summaries(rows: DataFrame, balances: DataFrame, shapes: DataFrame,
 
 def tape_summary(tape: DataFrame, config: TapeColumns | None = None, keys: Sequence[str] = ("borrower",)) -> DataFrame:
     """Loan count and money totals of a tape; what was collected is floored per loan."""
-    parts = signed_parts(negative_sign(config or TapeColumns()))
-    owed = outstanding(parts)
-    money = tape.select(
-        *keys, F.col("loan_id"),
-        *[p.alias(n) for n, p in parts.items()],
-        owed.alias("total_outstanding"),
-        F.greatest(F.lit(0.0), parts["total_loan_amount"] - owed).alias("collected_to_date"),
-    )
+    money = with_money(tape, config or TapeColumns()).withColumnRenamed("paid", "collected_to_date")
     names = ["principal_amount", "total_loan_amount", "principal_outstanding", "interest_outstanding",
              "fee_outstanding", "penalty_outstanding", "total_outstanding", "collected_to_date"]
     return money.groupBy(*keys).agg(F.count("loan_id").alias("loan_count"), *[total(F.col(n)).alias(n) for n in names])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyweave.config import TAPE_KEY_FIELDS, CategoryRule, TapeColumns
 from tallyweave.functions.dates import month_key, parse_when
 from tallyweave.functions.money import parse_money, plain_number
-from tallyweave.functions.text import blank_to_null, clean, first_present
+from tallyweave.functions.text import ascii_alnum_key, blank_to_null, clean, first_present
 from tallyweave.schema import DIR_IN, DIR_OUT, TRANSACTION
 
 # Keywords per statement role, in order of preference.
@@ -79,33 +79,34 @@ def resolve_tape(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.select(*keep, *fields)
 
 
-def signed_parts(negative: Column) -> dict[str, Column]:
-    """Tape money under the borrower's sign convention."""
+OUTSTANDING_PARTS = ("principal_outstanding", "interest_outstanding", "fee_outstanding", "penalty_outstanding")
+_WHOLE_PARTS = ("principal_amount", "total_loan_amount")
 
-    def owed(name: str) -> Column:
-        v = parse_money(F.col(name))
-        return F.when(negative, F.abs(v)).otherwise(F.greatest(v, F.lit(0.0)))
 
-    def plain(name: str) -> Column:
-        v = parse_money(F.col(name))
-        return F.when(negative, F.abs(v)).otherwise(v)
+def with_money(df: DataFrame, config: TapeColumns) -> DataFrame:
+    """Tape money as numbers under the borrower's sign convention, with ``total_outstanding`` and ``paid``.
 
-    parts = {n: owed(n) for n in ("principal_outstanding", "interest_outstanding", "fee_outstanding", "penalty_outstanding")}
-    parts["principal_amount"] = plain("principal_amount")
-    parts["total_loan_amount"] = plain("total_loan_amount")
-    return parts
-
-
-def outstanding(parts: Mapping[str, Column]) -> Column:
-    return (
-        parts["principal_outstanding"] + parts["interest_outstanding"]
-        + parts["fee_outstanding"] + parts["penalty_outstanding"]
+    Done in steps, so that each cell is parsed once.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    names = [*OUTSTANDING_PARTS, *_WHOLE_PARTS]
+    parsed = df.withColumns(
+        {
+            n: parse_money(F.col(n), isinstance(types[n], T.NumericType)) if n in types else F.lit(0.0)
+            for n in names
+        }
     )
-
-
-def negative_sign(config: TapeColumns) -> Column:
-    names = sorted(config.negative_sign_borrowers)
-    return F.col("borrower").isin(*names) if names else F.lit(False)
+    listed = sorted(config.negative_sign_borrowers)
+    negative = F.col("borrower").isin(*listed) if listed else F.lit(False)
+    signed = parsed.withColumns(
+        {n: F.when(negative, F.abs(n)).otherwise(F.greatest(F.col(n), F.lit(0.0))) for n in OUTSTANDING_PARTS}
+        | {n: F.when(negative, F.abs(n)).otherwise(F.col(n)) for n in _WHOLE_PARTS}
+    )
+    owed = F.col(OUTSTANDING_PARTS[0])
+    for n in OUTSTANDING_PARTS[1:]:
+        owed = owed + F.col(n)
+    totals = signed.withColumn("total_outstanding", owed)
+    return totals.withColumn("paid", F.greatest(F.lit(0.0), F.col("total_loan_amount") - F.col("total_outstanding")))
 
 
 def tape_events(df: DataFrame, config: TapeColumns | None = None) -> DataFrame:
@@ -120,17 +121,13 @@ def tape_events(df: DataFrame, config: TapeColumns | None = None) -> DataFrame:
     for optional in ("currency", "closure_date", "company_due_date", "seq"):
         if optional not in have:
             df = df.withColumn(optional, F.lit(None).cast("long" if optional == "seq" else "string"))
-    parts = signed_parts(negative_sign(config))
-    loan = clean(F.col("loan_id"))
     begin = blank_to_null(F.col("begin_date"))
-    collected_on = first_present(F.col("closure_date"), F.col("company_due_date"), F.col("begin_date"))
-    principal = F.abs(parse_money(F.col("principal_amount")))
-    paid = F.greatest(F.lit(0.0), parts["total_loan_amount"] - outstanding(parts))
-    lean = df.select(
-        "borrower", "seq", account.alias("account_ref"), loan.alias("loan_id"),
+    later = first_present(F.col("closure_date"), F.col("company_due_date"))
+    lean = with_money(df, config).select(
+        "borrower", "seq", account.alias("account_ref"), clean(F.col("loan_id")).alias("loan_id"),
         F.coalesce(F.col("currency").cast("string"), F.lit("")).alias("currency"),
-        begin.alias("begin"), collected_on.alias("collected_on"), principal.alias("principal"), paid.alias("paid"),
-    )
+        begin.alias("begin"), later.alias("later"), F.abs("principal_amount").alias("principal"), "paid",
+    ).withColumn("collected_on", F.coalesce("later", "begin"))
 
     def event(suffix: str, date: str, amount: str, direction: str, label: str, offset: int) -> Column:
         return F.when(
@@ -333,8 +330,6 @@ def drop_repeats(rows: DataFrame, keys: Sequence[str] = ("borrower",)) -> DataFr
     The minimum is combined map-side, so a transaction repeated in very many
     files does not pile up in one task.
     """
-    from tallyweave.functions.text import ascii_alnum_key
-
     cols = rows.columns
     scope = [k for k in keys if k in cols]
     identity = [

@@ -102,10 +102,9 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def _magnitude_bin(v: Column) -> Column:
     """Order-preserving bin that keeps the first four digits of the cents: at most 9,000 per decade."""
-    cents = F.floor(F.abs(v) * 100).cast("decimal(38,0)")
-    digits = F.length(cents.cast("string"))
-    width = F.pow(F.lit(10.0), F.greatest(digits - 4, F.lit(0))).cast("decimal(38,0)")
-    low = (cents - F.pmod(cents, width)).cast("double")
+    cents = F.floor(F.abs(v) * 100).cast("double")
+    width = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(cents)) - 3, F.lit(0)))
+    low = F.when(cents < 1, F.lit(0.0)).otherwise(F.floor(cents / width).cast("double") * width)
     return F.when(v < 0, -low).otherwise(low)
 
 
@@ -133,9 +132,10 @@ def exact_median(
         bins.withColumn("_n", F.sum("_bc").over(by_key))
         .withColumn("_before", F.coalesce(F.sum("_bc").over(running), F.lit(0)))
         .filter((F.col("_before") <= hi) & (F.col("_before") + F.col("_bc") > lo))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_kbin"), "_n", "_before")
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k__bin"), "_n", "_before")
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bin") == F.col("_kbin")]
+    # Null-safe equality adds no filter to one side only, so both read one histogram exchange.
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_bin"]]
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         hist.join(opened, same)

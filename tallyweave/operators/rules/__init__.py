@@ -32,10 +32,12 @@ def register(name: str, rule: Rule) -> None:
     REGISTRY[name] = rule
 
 
-def detect(rows: DataFrame, limits: Thresholds | None = None, names: Iterable[str] | None = None) -> Findings:
+def detect(
+    rows: DataFrame, limits: Thresholds | None = None, names: Iterable[str] | None = None, *, settled: bool = False
+) -> Findings:
     """Run the named rules (all by default) over canonical rows."""
     limits = limits or Thresholds()
-    ready = prepare(rows)
+    ready = prepare(rows, settled=settled)
     found = [REGISTRY[n](ready, limits) for n in (names or REGISTRY)]
     out = found[0]
     for f in found[1:]:

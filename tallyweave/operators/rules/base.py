@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.operators.ordered import exact_median
-from tallyweave.session import pin
+from tallyweave.session import pin, settle
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,12 @@ class Prepared:
         return (rows if rows is not None else self.rows).join(self.medians, "borrower")
 
 
-def prepare(rows: DataFrame, amount: str | None = None) -> Prepared:
-    """Rules look at the base-currency amount when the rows have one, else at the raw amount."""
+def prepare(rows: DataFrame, amount: str | None = None, *, settled: bool = False) -> Prepared:
+    """Rules look at the base-currency amount when the rows have one, else at the raw amount.
+
+    The narrow rows are written once, since every rule scans them, some more than
+    once; ``settled`` says the rows already are a table.
+    """
     amount = amount or ("amount_base" if "amount_base" in rows.columns else "amount")
     lean = rows.select(
         F.coalesce(F.col("borrower"), F.lit("")).alias("borrower"), "key", "seq", "value_date", "direction",
@@ -39,6 +43,7 @@ def prepare(rows: DataFrame, amount: str | None = None) -> Prepared:
         F.coalesce(F.col("sheet"), F.lit("")).alias("sheet"),
         F.coalesce(F.col(amount), F.lit(0.0)).alias("amt"),
     )
+    lean = lean if settled else settle(lean)
     # One number per borrower, used by three rules: computed once.
     medians = pin(exact_median(lean, ["borrower"], "amt", "median_amt"))
     return Prepared(lean, medians)

@@ -13,6 +13,7 @@ from tallyweave.functions.money import exact_sum, to_double
 from tallyweave.functions.text import thousands
 from tallyweave.operators.ordered import exact_median
 from tallyweave.operators.rules.base import Findings, Prepared, exception_id
+from tallyweave.session import settle
 
 
 def _exceptions(groups: DataFrame, rule: str, severity: float, description: Column) -> DataFrame:
@@ -37,6 +38,7 @@ def duplicates(p: Prepared, limits: Thresholds) -> Findings:
         .filter(F.col("n") > 1)
         .withColumn("id", exception_id("dup", F.coalesce(F.col("first_evidence"), F.xxhash64(*identity).cast("string"))))
     )
+    groups = settle(groups)
     text = F.concat(
         F.lit("Duplicate transaction: '"), F.col("description"), F.lit("' "), thousands(F.col("cents"), 2),
         F.lit(" on "), F.col("day"), F.lit(" appears "), F.col("n").cast("string"), F.lit("x"),
@@ -100,6 +102,7 @@ def structuring(p: Prepared, limits: Thresholds) -> Findings:
         .filter(F.col("total") > F.col("median_amt") * limits.micro_split_materiality_multiple)
         .filter(F.col("hi") * (1 - tol) <= F.col("lo") * (1 + tol) * (1 + 1e-9))
     )
+    possible = settle(possible)
     members = rows.join(possible.select(*group, "lo", "hi", "n"), group)
     amt, half = F.col("amt"), F.floor(F.col("n") / 2)
     judged = members.groupBy(*group).agg(

@@ -1,4 +1,8 @@
-"""One verification over any number of borrowers, as one lazy plan."""
+"""One verification over any number of borrowers.
+
+The stages are plain DataFrames; what several of them read (the transactions, the
+totals per borrower, the unranked exceptions) is written once in between.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyweave.config import TapeColumns, Thresholds
 from tallyweave.operators import aggregate, fx, normalize, rank, reconcile, rules
 from tallyweave.operators.rules import Findings
+from tallyweave.session import settle
 
 
 @dataclass(frozen=True)
@@ -64,7 +69,7 @@ def both_sides(rows: DataFrame, balances: DataFrame | None) -> tuple[DataFrame,
         g = g.join(aggregate.closing_cash(balances, ["borrower"]).select("borrower", F.col("cash_total").alias("calc_cash"), F.col("statements").alias("balances")), "borrower", "left")
     else:
         g = g.withColumns({"calc_cash": F.lit(0.0), "balances": F.lit(0)})
-    g = g.fillna({"calc_cash": 0.0, "balances": 0})
+    g = settle(g.fillna({"calc_cash": 0.0, "balances": 0}))
 
     def named(prefix: str) -> DataFrame:
         return g.select("borrower", F.col(f"{prefix}_in").alias("collections"), F.col(f"{prefix}_out").alias("disbursements"), F.col(f"{prefix}_cash").alias("cash_total"))
@@ -78,7 +83,8 @@ def verify(
 ) -> Verification:
     """Normalise, convert, aggregate, reconcile, look for anomalies and rank."""
     limits, columns = limits or Thresholds(), columns or TapeColumns()
-    rows = transactions(inputs, columns, periods, base)
+    # Totals and seven rules scan the rows, so they are written once.
+    rows = settle(transactions(inputs, columns, periods, base))
     balances = inputs.balances
     if balances is not None:
         balances = fx.convert(balances, inputs.rates, base, "closing_balance")
@@ -86,8 +92,8 @@ def verify(
     pairs = reconcile.side_by_side(reported, calculated, ["borrower"])
     ready = reconcile.readiness(counts)
     breaches = reconcile.only_ready(reconcile.reconcile(pairs, limits), ready)
-    found: Findings = rules.detect(rows, limits)
-    exceptions = rank.rank(breaches.unionByName(found.exceptions))
+    found: Findings = rules.detect(rows, limits, settled=True)
+    exceptions = rank.rank(settle(breaches.unionByName(found.exceptions)))
     spot = normalize.flag_spot_checks(rows.filter(F.col("sheet") == "bank"), limits.pdf_confidence_floor)
     return Verification(
         rows, reported, calculated, reconcile.gateway_fee(pairs, limits), ready, exceptions, found.evidence,
