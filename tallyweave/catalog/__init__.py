@@ -6,7 +6,7 @@ import importlib
 
 from tallyweave.catalog.base import Entry
 
-MODULES = ("mapping", "figures", "findings")
+MODULES = ("mapping", "figures", "findings", "evidence", "audit_trail")
 
 
 def entries() -> dict[str, Entry]:

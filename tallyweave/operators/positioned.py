@@ -1,6 +1,6 @@
 """Numbered tables recovered from word positions.
 
-Words of a page become visual lines in a small grouped-map helper (the anchor of
+Words of a page become visual lines by a fold inside the page's row (the anchor of
 a line is its first word, which no window frame expresses). Everything after
 that is joins and prefix counts: the header in force, the cell of each word, and
 which row a loose narration belongs to.
@@ -8,13 +8,13 @@ which row a loose narration belongs to.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions.dates import month_name_date
 from tallyweave.operators.ordered import HOT_ROWS, exclusive_prefix
 from tallyweave.operators.statements import NUMBER, TABLE_WORDS, number_of
 from tallyweave.schema import DIR_IN, DIR_OUT
+from tallyweave.session import settle
 
 # Generator and footer lines.
 NOISE = (
@@ -24,30 +24,40 @@ NOISE = (
     r"^\d+/\d+$",
     r"(?i)^Page\s+\d+\s+of\s+\d+",
 )
-_LINE = "file string, page int, line_no int, words array<struct<text:string,x0:double,x1:double>>"
 _CELLS = {"#": "c0", "DATE": "c1", "NARRATION": "c2", "DEBIT": "c3", "CREDIT": "c4", "BALANCE": "c5"}
 
 
 def page_lines(words: DataFrame) -> DataFrame:
-    """Words of one page -> visual lines, each sorted left to right. A page bounds the group."""
-
-    def assemble(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0"], kind="stable")
-        heights = (page["bottom"] - page["top"]).sort_values().to_list()
-        reach = max(2.0, 0.5 * (heights[len(heights) // 2] or 7.0))
-        number, anchor, numbers = -1, None, []
-        for top in page["top"]:
-            if anchor is None or abs(top - anchor) > reach:
-                number, anchor = number + 1, top
-            numbers.append(number)
-        page = page.assign(line_no=numbers).sort_values(["line_no", "x0"], kind="stable")
-        rows = [
-            (g["file"].iloc[0], int(g["page"].iloc[0]), int(n), g[["text", "x0", "x1"]].to_dict("records"))
-            for n, g in page.groupby("line_no", sort=True)
-        ]
-        return pd.DataFrame(rows, columns=["file", "page", "line_no", "words"])
-
-    return words.groupBy("file", "page").applyInPandas(assemble, _LINE)
+    """Words -> visual lines of a page, each sorted left to right: ``file, page, line_no, words``.
+
+    A line reaches as far as half the page's median word height from its first
+    word. A page bounds the group, and it is worked on inside its row.
+    """
+    word = F.struct("top", "x0", "text", "x1", "bottom")
+    pages = words.groupBy("file", "page").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    heights = F.array_sort(F.transform("ws", lambda w: w["bottom"] - w["top"]))
+    middle = F.get(heights, F.floor(F.size("ws") / 2).cast("int"))
+    reach = F.greatest(F.lit(2.0), F.when(middle == 0, F.lit(7.0)).otherwise(middle) * 0.5)
+    # What stays the same for a page is carried in the fold, not looked up per word.
+    start = F.struct(reach.alias("reach"), F.array(F.get(F.col("ws"), F.lit(0))["top"]).alias("tops"))
+    folded = F.aggregate(
+        "ws", start,
+        lambda acc, w: F.struct(
+            acc["reach"].alias("reach"),
+            F.when(w["top"] - F.element_at(acc["tops"], -1) > acc["reach"], F.concat(acc["tops"], F.array(w["top"])))
+            .otherwise(acc["tops"]).alias("tops"),
+        ),
+        lambda acc: acc["tops"],
+    )
+    pages = pages.withColumn("tops", folded)
+    spans = F.zip_with("tops", F.slice("tops", 2, F.size("tops")), lambda a, b: F.struct(a.alias("top"), b.alias("below")))
+
+    def line(span: Column) -> Column:
+        own = F.filter("ws", lambda w: (w["top"] >= span["top"]) & (span["below"].isNull() | (w["top"] < span["below"])))
+        by_x = F.array_sort(F.transform(own, lambda w: F.struct(w["x0"].alias("x0"), w["top"].alias("top"), w["text"].alias("text"), w["x1"].alias("x1"))))
+        return F.transform(by_x, lambda w: F.struct(w["text"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1")))
+
+    return pages.select("file", "page", F.posexplode(F.transform(spans, line)).alias("line_no", "words"))
 
 
 def _marked_lines(lines: DataFrame) -> DataFrame:
@@ -113,7 +123,7 @@ def _assembled(cells: DataFrame, valid: Column, hot_rows: int) -> DataFrame:
     or after a row that was not kept lead the next row; others follow the row above."""
     flagged = cells.withColumn("is_valid", ((F.col("is_event") == 1) & valid).cast("int"))
     c = exclusive_prefix(flagged, ["file"], [F.col("at")], ["is_event", "is_valid"], hot_rows=hot_rows)
-    c = c.withColumns({"e": F.col("is_event_before").cast("long"), "v": F.col("is_valid_before").cast("long")})
+    c = settle(c.withColumns({"e": F.col("is_event_before").cast("long"), "v": F.col("is_valid_before").cast("long")}))
     rows = c.filter(F.col("is_valid") == 1).withColumn("row_id", F.col("v") + 1)
     last_event = c.filter(F.col("is_event") == 1).select(
         "file", (F.col("e") + 1).alias("e"), F.col("block").alias("event_block"), F.col("is_valid").alias("event_valid")
@@ -135,7 +145,7 @@ def _assembled(cells: DataFrame, valid: Column, hot_rows: int) -> DataFrame:
 
 def table_rows(words: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Canonical rows of numbered tables, with ``balance``; a credit is read before a debit."""
-    cells = _cells(_marked_lines(page_lines(words)), hot_rows).withColumns(
+    cells = _cells(settle(_marked_lines(page_lines(words))), hot_rows).withColumns(
         {"debit": _first_money(F.col("c3")), "credit": _first_money(F.col("c4")), "balance": _first_money(F.col("c5"))}
     )
     rows = _assembled(cells, F.col("credit").isNotNull() | F.col("debit").isNotNull(), hot_rows)
@@ -153,7 +163,7 @@ def table_rows(words: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def raw_table(words: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same tables under their own header names, rows without money included."""
-    cells = _cells(_marked_lines(page_lines(words)), hot_rows)
+    cells = _cells(settle(_marked_lines(page_lines(words))), hot_rows)
     rows = _assembled(cells, F.lit(True), hot_rows)
     own = [F.trim(F.array_join(c, " ")).alias(name) for name, c in _CELLS.items() if name not in ("#", "NARRATION")]
     return rows.select("file", F.col("row_id").alias("seq"), F.col("row_no").alias("#"), own[0],
