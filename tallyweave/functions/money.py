@@ -12,7 +12,7 @@ from pyspark.sql import Column, functions as F
 from tallyweave.functions.text import strip
 
 EXACT = "decimal(28,10)"
-_PLAIN_NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+_NUMBER_CHARS = "0123456789+-.eE"
 
 
 def exact(c: Column) -> Column:
@@ -37,7 +37,8 @@ def total(c: Column, where: Column | None = None) -> Column:
 def plain_number(c: Column) -> Column:
     """Text of a plain decimal number as DOUBLE, else null."""
     s = strip(c.cast("string"))
-    return F.when(s.rlike(_PLAIN_NUMBER), s.try_cast("double"))
+    # A cast alone would also take suffixes and words such as 1.0d or Infinity.
+    return F.when(F.translate(s, _NUMBER_CHARS, "") == "", s.try_cast("double"))
 
 
 def parse_money(c: Column, numeric: bool = False) -> Column:

@@ -156,21 +156,20 @@ def tape_events(df: DataFrame, config: TapeColumns | None = None) -> DataFrame:
     )
 
 
-def statement_amount(debit: Column | None, credit: Column | None, amount: Column | None) -> tuple[Column, Column]:
-    """(amount, direction) of a statement row; null amount means the row is dropped.
+def signed_amount(debit: Column | None, credit: Column | None, amount: Column | None) -> tuple[Column, Column]:
+    """(amount, direction) of a statement row from parsed cells; null amount means the row is dropped.
 
     A debit or credit column decides when there is one (signs kept); otherwise the
     sign of the amount does.
     """
     if debit is not None or credit is not None:
-        d = parse_money(debit) if debit is not None else F.lit(0.0)
-        c = parse_money(credit) if credit is not None else F.lit(0.0)
+        d = debit if debit is not None else F.lit(0.0)
+        c = credit if credit is not None else F.lit(0.0)
         value = F.when(c != 0, c).when(d != 0, d)
         return value, F.when(c != 0, F.lit(DIR_IN)).when(d != 0, F.lit(DIR_OUT))
     if amount is None:
         return F.lit(None).cast("double"), F.lit(None).cast("string")
-    v = parse_money(amount)
-    kept = F.when(blank_to_null(amount).isNotNull() & (v != 0), v)
+    kept = F.when(amount != 0, amount)
     return F.abs(kept), F.when(kept >= 0, F.lit(DIR_IN)).otherwise(F.lit(DIR_OUT))
 
 
@@ -184,7 +183,15 @@ def statement_rows(df: DataFrame, roles: Mapping[str, str | None], *, sheet: str
     def role(name: str) -> Column | None:
         return F.col(f"`{roles[name]}`") if roles.get(name) else None
 
-    value, direction = statement_amount(role("debit"), role("credit"), role("amount"))
+    # Each cell is parsed once, in a step of its own.
+    types = {f.name: f.dataType for f in df.schema}
+    parsed = {
+        r: parse_money(role(r), isinstance(types[roles[r]], T.NumericType)) for r in ("debit", "credit", "amount") if role(r) is not None
+    }
+    if "amount" in parsed:
+        parsed["amount"] = F.when(blank_to_null(role("amount")).isNotNull(), parsed["amount"])
+    df = df.withColumns({f"_cell_{r}": c for r, c in parsed.items()})
+    value, direction = signed_amount(*[F.col(f"_cell_{r}") if r in parsed else None for r in ("debit", "credit", "amount")])
     description = role("description")
     currency = currency or find_column(df.columns, "currency")
     rows = df.withColumn("amount_", value).withColumn("direction_", direction)

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tallyweave.functions.money import parse_money
 from tallyweave.functions.text import blank_to_null, clean
 from tallyweave.operators.grids import cell_named, has_named, with_header
-from tallyweave.operators.normalize import ROLE_KEYWORDS, canonical, statement_amount
+from tallyweave.operators.normalize import ROLE_KEYWORDS, canonical, signed_amount
 from tallyweave.operators.ordered import with_ordinal
 from tallyweave.schema import DIR_IN, DIR_OUT
 
@@ -62,8 +63,9 @@ def load_statements(spark: SparkSession, paths: str | Sequence[str], *, sheet: s
     r = _roles()
     has_debit, has_credit = has_named(*ROLE_KEYWORDS["debit"]), has_named(*ROLE_KEYWORDS["credit"])
     usable = has_named(*ROLE_KEYWORDS["date"]) & (has_named(*ROLE_KEYWORDS["amount"]) | (has_debit & has_credit))
-    split_value, split_dir = statement_amount(r["debit"], r["credit"], None)
-    one_value, one_dir = statement_amount(None, None, r["amount"])
+    table = table.withColumns({f"_{n}": parse_money(r[n]) for n in ("debit", "credit", "amount")})
+    split_value, split_dir = signed_amount(F.col("_debit"), F.col("_credit"), None)
+    one_value, one_dir = signed_amount(None, None, F.col("_amount"))
     exact = lambda *names: F.coalesce(*[_cell_exact(n) for n in names])
     simple = F.replace(exact("amount"), F.lit(","), F.lit("")).try_cast("double")
     split = has_debit | has_credit
