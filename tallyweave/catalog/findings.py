@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.catalog.base import LIMITS, Entry, all_rows, balances, bank, ledger, rates, sql, COLUMNS
@@ -131,13 +133,18 @@ ENTRIES["asset_sheet"] = Entry(
 # Ranking and routing ---------------------------------------------------------
 
 
-def run(s: SparkSession, d: str) -> verification.Verification:
-    bal = balances(s, d)
+@lru_cache(maxsize=4)
+def _run(app: str, s: SparkSession, d: str) -> verification.Verification:
     return verification.verify(
-        verification.Inputs(tape=view(s, d, "loan_tape"), bank=bank(s, d), ledger=ledger(s, d), rates=rates(s, d), balances=bal), LIMITS, COLUMNS
+        verification.Inputs(tape=view(s, d, "loan_tape"), bank=bank(s, d), ledger=ledger(s, d), rates=rates(s, d), balances=balances(s, d)), LIMITS, COLUMNS
     )
 
 
+def run(s: SparkSession, d: str) -> verification.Verification:
+    """One verification per application and data set: the lists and reports below read its written tables."""
+    return _run(s.sparkContext.applicationId, s, d)
+
+
 _ANOM = " UNION ALL ".join(f"SELECT borrower, id, rule, 'anomaly' AS kind, severity, description FROM ({q}) r" for q in SQL.values())
 FOUND = f"{_ANOM} UNION ALL SELECT borrower, id, rule, 'reconciliation', severity, description FROM ({breaches('pairs')}) b"
 RANKED = """SELECT borrower, id, rule, kind, s AS severity, severity AS severity_raw, concat(description, ' [severity=', format('{:.2f}', s), ']') AS description FROM (
