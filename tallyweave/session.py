@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,16 +11,33 @@ PIN_LIMIT = 10_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names; make one only where none is set (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named (tests), a folder of this application on the default
+    file system is taken. On several machines that file system must be shared:
+    a local one is refused, since each executor would write to its own disk.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="tallyweave-ckpt-")
+        default = sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if default.startswith("file:") and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{default.rstrip('/')}/tmp/tallyweave/{sc.applicationId}"
+        if default.startswith("file:"):
+            named = f"file:///tmp/tallyweave/{sc.applicationId}"
+        _delete_on_exit(spark, named)
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver remove ``path`` when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,9 +50,11 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     For rows that several operators scan: each then reads only its own columns,
-    and a lost executor costs a re-read, not the whole lineage.
+    and a lost executor costs a re-read, not the whole lineage. The table lives
+    as long as the application: the driver removes it at its exit.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    _delete_on_exit(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
