@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # One pattern for a word everywhere: what lies between ASCII white space.
@@ -84,3 +88,62 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text").limit(4 * per_class).collect()
     )
     return [(r.text, int(r.y)) for r in rows]
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, looked up while they recur; emptied when it has grown large."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingles(words: list[bytes], hashes: WordHashes, size: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of ``size`` words.
+
+    A text of fewer words is one shingle by itself, so short texts are similar
+    only if they are equal. No words, no shingles.
+    """
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    span = min(size, len(w))
+    h = np.full(len(w) - span + 1, span, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(span):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - span + 1 + k]
+            h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bytes with the bit of each long's low ``bits`` bits set; 2 ** bits / 8 of them, however many values there are."""
+    page = 15  # Spark's bitmaps hold 2 ** 15 bits each
+    slot = F.col(column).bitwiseAND((1 << bits) - 1)
+    pages = values.select(F.shiftright(slot, page).alias("page"), slot.bitwiseAND((1 << page) - 1).alias("bit"))
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("b")).collect():
+        out[r.page << (page - 3) : (r.page + 1) << (page - 3)] = np.frombuffer(r.b, dtype=np.uint8)
+    return out
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of a partition sorted by ``keys``, cut anew so that no group is split. A group must fit in memory."""
+    rest: pd.DataFrame | None = None
+    for f in frames:
+        if not len(f):
+            continue
+        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+        same = np.ones(len(f), dtype=bool)
+        for k in keys:
+            same &= (f[k] == f[k].iloc[-1]).to_numpy()
+        first = len(f) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if first:
+            yield f.iloc[:first].reset_index(drop=True)
+        rest = f.iloc[first:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest

@@ -19,17 +19,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import as_text, row_key, signed, text_key
+from tallyweave.llm.common import as_text, bitmap as bitmap_of, row_key, signed, text_key
 from tallyweave.session import settle
 
 VARIABLE = b"<*>"
 _NO_DIGITS = bytes(range(48, 58))
-_PAGE = 15  # Spark's bitmaps hold 2 ** 15 bits each
 
 
 @dataclass(frozen=True)
@@ -74,16 +72,6 @@ def _leaves(docs: DataFrame, tree: Tree) -> DataFrame:
     return each.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= tree.min_texts).select("leaf")
 
 
-def _bitmap(leaves: DataFrame, tree: Tree) -> np.ndarray:
-    """One bit per slot of leaves, 2 ** bits / 8 bytes however many leaves there are."""
-    slot = F.col("leaf").bitwiseAND((1 << tree.bits) - 1)
-    pages = leaves.select(F.shiftright(slot, _PAGE).alias("page"), slot.bitwiseAND((1 << _PAGE) - 1).alias("bit"))
-    out = np.zeros((1 << tree.bits) // 8, dtype=np.uint8)
-    for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("b")).collect():
-        out[r.page << (_PAGE - 3) : (r.page + 1) << (_PAGE - 3)] = np.frombuffer(r.b, dtype=np.uint8)
-    return out
-
-
 def _occurrences(docs: DataFrame, bitmap, tree: Tree) -> DataFrame:
     """``rk, doc_id, tk, no, leaf, line``: the lines whose leaf has its bit set."""
     mask = (1 << tree.bits) - 1
@@ -140,7 +128,7 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
     leaves = settle(_leaves(base, tree))
-    bitmap = spark.sparkContext.broadcast(_bitmap(leaves, tree))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(leaves, "leaf", tree.bits))
     keyed = base.filter(F.col("t").isNotNull()).withColumns({"rk": row_key(F.col("id"), F.col("t")), "tk": text_key(F.col("t"))})
     occ = settle(_occurrences(keyed, bitmap, tree).withColumn("lk", F.unhex(F.md5("line"))))
     real = occ.select("leaf", "lk", "tk").distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_templates, quality_bands
+from tallyweave.llm import line_templates, ngram_join, quality_bands
 from tallyweave.llm.common import table
 
 
@@ -19,8 +19,17 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(docs)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class, whose documents links connect, and its number of links."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link(docs).select(
+        F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), "rep_id", "n_links", "n_class_links"
+    )
+
+
 QUERIES = {
     "op3_compression_bands": op3_compression_bands,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
 }
 
