@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_templates, ngram_join, quality_bands
+from tallyweave.llm import line_templates, mixing, ngram_join, quality_bands
 from tallyweave.llm.common import table
 
 
@@ -27,10 +27,17 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell's fitted weight and whether it is drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix_documents(docs).select("doc_id", "source", "lang", "mix.*")
+
+
 QUERIES = {
     "op3_compression_bands": op3_compression_bands,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
+    "op7_raked_mixing": op7_raked_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_raked_mixing": mixing.oracle()}
