@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_templates, mixing, ngram_join, quality_bands
+from tallyweave.llm import line_templates, mixing, nbest, ngram_join, quality_bands
 from tallyweave.llm.common import table
 
 
@@ -33,11 +33,18 @@ def op7_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs).select("doc_id", "source", "lang", "mix.*")
 
 
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best ids and the spans of the next three segmentations."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return nbest.encode(docs).select("doc_id", "pieces.*")
+
+
 QUERIES = {
     "op3_compression_bands": op3_compression_bands,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
     "op7_raked_mixing": op7_raked_mixing,
+    "op10_nbest_pieces": op10_nbest_pieces,
 }
 
 ORACLES: dict[str, str] = {"op7_raked_mixing": mixing.oracle()}
