@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,14 +52,15 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60.0, 60.0)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Weights (the last one is the bias) of a small dense logistic regression, by Newton's method."""
     a = np.column_stack([x, np.ones(len(y))])
+    each = np.full(len(y), 1 / len(y)) if weights is None else weights / weights.sum()
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = sigmoid(a @ w)
-        grad = a.T @ (p - y) / len(y) + ridge * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a / len(y) + (ridge + 1e-9) * np.eye(len(w))
+        grad = a.T @ ((p - y) * each) + ridge * w
+        hess = (a * (p * (1 - p) * each)[:, None]).T @ a + (ridge + 1e-9) * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -66,28 +68,47 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, max_bytes: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` training texts of either class, the same ones on each run.
+@dataclass(frozen=True)
+class Sample:
+    """Labelled texts, and how many rows of either label they stand for."""
+
+    rows: tuple[tuple[str, int], ...]
+    counts: tuple[int, int]
+
+    def texts(self, y: int) -> list[str]:
+        return [t for t, label in self.rows if label == y]
+
+    def weight(self, y: int) -> float:
+        """What one sampled text of label ``y`` counts, so that the labels weigh as in all rows."""
+        n = sum(label == y for _, label in self.rows)
+        return self.counts[y] / n if n else 0.0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, max_chars: int) -> Sample:
+    """At most ``per_class`` training texts of either label, the same ones on each run.
 
     ``fold`` is true for the rows that may be learned from. Rows are taken by the
-    md5 of their id, so the choice has nothing to do with the order of the files.
-    The sample is what the driver holds: its bound is ``2 * per_class`` texts of
-    ``max_bytes`` characters each, a window at a place that depends on the row.
+    md5 of their id, so the choice has nothing to do with the order of the files;
+    ids with contradicting labels are left out. The sample is what the driver
+    holds: at most ``2 * per_class`` ids and ``4 * per_class`` rows, of a window
+    of ``max_chars`` characters each, at a place that depends on the id.
     """
     l = labels.select(F.col("doc_id"), F.col(label).alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & fold)
     l = l.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("y").alias("low")).filter("y = low").drop("low")
+    counts = {r.y: r["count"] for r in l.groupBy("y").count().collect()}
     picked = None
     for y in (0, 1):
         one = l.filter(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
-    room = F.greatest(F.length("text") - max_bytes, F.lit(0)) + 1
+    room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
     start = F.pmod(F.xxhash64("doc_id"), room.cast("long")).cast("int") + 1
+    # Few ids against all documents: the ids go to the documents, which stay where they are.
     rows = (
-        docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id")
-        .select("doc_id", F.substring(F.col("text"), start, F.lit(max_bytes)).alias("text"), "y")
+        docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+        .select("doc_id", F.substring(F.col("text"), start, F.lit(max_chars)).alias("text"), "y")
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text").limit(4 * per_class).collect()
     )
-    return [(r.text, int(r.y)) for r in rows]
+    return Sample(tuple((r.text, int(r.y)) for r in rows), (counts.get(0, 0), counts.get(1, 0)))
 
 
 class WordHashes(dict):

@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_templates, mixing, nbest, ngram_join, quality_bands
+from tallyweave.llm import compression_classifier, line_templates, mixing, nbest, ngram_join, quality_bands
 from tallyweave.llm.common import table
 
 
+def fold(doc_id: str, parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
+
+
+def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels of remainder 2 are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return compression_classifier.score(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_bands.assess(docs, into="q").select("doc_id", "q.*")
@@ -40,6 +54,7 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compression_classifier": op1_compression_classifier,
     "op3_compression_bands": op3_compression_bands,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
