@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import compression_classifier, line_templates, mixing, nbest, ngram_join, quality_bands
+from tallyweave.llm import compression_classifier, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
 from tallyweave.llm.common import table
 
 
@@ -41,6 +41,15 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; labels of remainder 0 are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell's fitted weight and whether it is drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -58,6 +67,7 @@ QUERIES = {
     "op3_compression_bands": op3_compression_bands,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
+    "op6_recurrent_toxicity": op6_recurrent_toxicity,
     "op7_raked_mixing": op7_raked_mixing,
     "op10_nbest_pieces": op10_nbest_pieces,
 }
