@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import compression_classifier, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
+from tallyweave.llm import compression_classifier, dimension_scan, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
 from tallyweave.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return dimension_scan.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_bands.assess(docs, into="q").select("doc_id", "q.*")
@@ -64,6 +69,7 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
+    "op2_dimension_scan": op2_dimension_scan,
     "op3_compression_bands": op3_compression_bands,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
