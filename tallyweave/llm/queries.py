@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import compression_classifier, dimension_scan, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
+from tallyweave.llm import compression_classifier, credentials, dimension_scan, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
 from tallyweave.llm.common import table
 
 
@@ -61,6 +61,19 @@ def op7_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs).select("doc_id", "source", "lang", "mix.*")
 
 
+def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: the base kinds, and the weak candidates that linking confirms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = credentials.scan(docs, into="s")
+    kind = lambda k: F.size(F.filter("s.base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", kind(0).alias("n_assign"), kind(1).alias("n_access"), kind(2).alias("n_hex"),
+        F.sha2(credentials.written(F.col("s.base")), 256).alias("base_sha256"),
+        credentials.written(F.array_sort(F.concat("s.base", "s.weak"))).alias("spans"),
+        F.size("s.weak").cast("long").alias("n_weak"), F.size("s.linked").cast("long").alias("n_linked"),
+    )
+
+
 def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best ids and the spans of the next three segmentations."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +88,7 @@ QUERIES = {
     "op5_line_templates": op5_line_templates,
     "op6_recurrent_toxicity": op6_recurrent_toxicity,
     "op7_raked_mixing": op7_raked_mixing,
+    "op8_credential_linking": op8_credential_linking,
     "op10_nbest_pieces": op10_nbest_pieces,
 }
 
