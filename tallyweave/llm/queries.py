@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import compression_classifier, credentials, dimension_scan, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
+from tallyweave.llm import compression_classifier, credentials, dimension_scan, licenses, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
 from tallyweave.llm.common import table
 
 
@@ -74,6 +74,17 @@ def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license paragraphs, and the families that templates confirm."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.fit(docs))
+    sure = F.filter("licenses", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id", "licenses", F.size("licenses").cast("long").alias("n_paragraphs"), F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))).alias("families"),
+    )
+
+
 def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best ids and the spans of the next three segmentations."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +100,7 @@ QUERIES = {
     "op6_recurrent_toxicity": op6_recurrent_toxicity,
     "op7_raked_mixing": op7_raked_mixing,
     "op8_credential_linking": op8_credential_linking,
+    "op9_license_classifier": op9_license_classifier,
     "op10_nbest_pieces": op10_nbest_pieces,
 }
 
