@@ -48,6 +48,7 @@ class Settings:
     epochs: int = 6
     batch: int = 128
     rate: float = 0.01
+    forget: float = 0.5
     seed: int = 11
 
 
@@ -291,16 +292,20 @@ def train(sample: Sample, s: Settings = Settings()) -> Model:
         chance = begin + (rng.random(len(clean)) * (end - begin)).astype(np.int64)
         chosen = np.concatenate([top, chance])
         chosen = chosen[rng.permutation(len(chosen))]
-        for i in range(0, len(chosen), s.batch):
-            k = chosen[i : i + s.batch]
+        # Small samples go in small batches, so that there are steps enough.
+        batch = int(np.clip(len(chosen) // 20, 8, s.batch))
+        for i in range(0, len(chosen), batch):
+            k = chosen[i : i + batch]
             used, local = np.unique(all_rows[k], return_inverse=True)
-            x = embed(p, words[used], [inputs.grams[r] for r in used])
+            # Every other word is taken as unknown, so that its parts must say what it means.
+            seen = np.where(rng.random(len(used)) < s.forget, 0, words[used])
+            x = embed(p, seen, [inputs.grams[r] for r in used])
             label = y[owner[k]]
             _, g, dx = gradients(p, x, local.reshape(all_rows[k].shape), all_filled[k], label, np.where(label == 1, 1.5, 1.0))
             flatdx = np.zeros((len(used), x.shape[1]), dtype=np.float32)
             np.add.at(flatdx, local.ravel(), dx.reshape(-1, x.shape[1]))
             g["words"], g["chars"] = np.zeros_like(p["words"]), np.zeros_like(p["chars"])
-            np.add.at(g["words"], words[used], flatdx[:, : s.word_dim])
+            np.add.at(g["words"], seen, flatdx[:, : s.word_dim])
             g["words"][0] = 0
             mine = np.repeat(np.arange(len(used)), sizes[used])
             ids = np.concatenate([flat[first[r] : first[r + 1]] for r in used]) if len(used) else flat[:0]
