@@ -155,17 +155,20 @@ ENTRIES["src_inbox"] = Entry(
 
 def _fx_feed(spark: SparkSession, sf: str) -> DataFrame:
     n = load(spark, sf, "customer")
-    body = F.to_json(F.struct(F.lit("2024-05-01").alias("date"), F.map_from_arrays(
+    """Three days of every code, and KES, which the static rates have too, from all customers."""
+    day = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    body = F.to_json(F.struct(F.concat(F.lit("2024-05-0"), F.col("day").cast("string")).alias("date"), F.map_from_arrays(
         F.array(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.lit("kes")),
-        F.array((F.col("c_custkey") % 50).cast("double"), F.lit(128.0))).alias("usd")))
-    live = fx.feed_rates(n.select(body.alias("json"))).filter(F.col("currency") != "KES")
+        F.array((F.col("c_custkey") % 50 * F.col("day")).cast("double"), F.lit(128.0) * F.col("day"))).alias("usd")))
+    live = fx.feed_rates(n.withColumn("day", day).select(body.alias("json")))
     return fx.overlay_rates(live, rates(spark, sf))
 
 
 ENTRIES["src_fx_feed"] = Entry(
     _fx_feed,
-    sql("""SELECT concat('C', CAST(c_custkey AS VARCHAR)) AS currency, 1.0 / CAST(c_custkey % 50 AS DOUBLE) AS rate, 'live' AS source FROM customer WHERE c_custkey % 50 > 0
-        UNION ALL SELECT currency, rate, 'static' FROM fx_rates"""),
+    sql("""SELECT concat('C', CAST(c_custkey AS VARCHAR)) AS currency, 1.0 / CAST(c_custkey % 50 * 3 AS DOUBLE) AS rate, 'live' AS source FROM customer WHERE c_custkey % 50 > 0
+        UNION ALL SELECT 'KES', 1.0 / 384.0, 'live'
+        UNION ALL SELECT currency, rate, 'static' FROM fx_rates WHERE currency <> 'KES'"""),
 )
 
 # Mapping ---------------------------------------------------------------------

@@ -15,7 +15,10 @@ def static_rates(spark: SparkSession, policy: FxPolicy) -> DataFrame:
 
 
 def feed_rates(feed: DataFrame, base: str = "USD") -> DataFrame:
-    """Landed feed rows (``json``: currency units per one base unit) -> base units per currency unit."""
+    """Landed feed rows (``json``: currency units per one base unit) -> base units per currency unit.
+
+    Of several days the latest counts, so a code has one rate.
+    """
     parsed = feed.select(
         F.get_json_object("json", "$.date").alias("as_of"),
         F.from_json(
@@ -23,7 +26,20 @@ def feed_rates(feed: DataFrame, base: str = "USD") -> DataFrame:
         ).alias("m"),
     )
     each = parsed.select("as_of", F.explode("m").alias("code", "per_base")).filter(F.col("per_base") > 0)
-    return each.select(F.upper(F.trim("code")).alias("currency"), (1.0 / F.col("per_base")).alias("rate"), "as_of")
+    rated = each.select(F.upper(F.trim("code")).alias("currency"), (1.0 / F.col("per_base")).alias("rate"), "as_of")
+    return one_per_code(rated)
+
+
+def one_per_code(rates: DataFrame) -> DataFrame:
+    """One row per currency: the latest where rates are dated; else equal repetitions are
+    one, and rates that contradict each other raise, since none may be guessed."""
+    if "as_of" in rates.columns:
+        last = F.max_by(F.struct("rate", "as_of"), F.struct("as_of", "rate")).alias("_r")
+        return rates.groupBy("currency").agg(last).select("currency", "_r.rate", "_r.as_of")
+    clash = F.raise_error(F.concat(F.lit("two rates for "), F.col("currency"))).cast("double")
+    return rates.groupBy("currency").agg(F.min("rate").alias("_low"), F.max("rate").alias("_high")).select(
+        "currency", F.when(F.col("_low") != F.col("_high"), clash).otherwise(F.col("_high")).alias("rate")
+    )
 
 
 def overlay_rates(live: DataFrame, static: DataFrame) -> DataFrame:
@@ -42,10 +58,11 @@ def currency_code(c: Column) -> Column:
 def convert(df: DataFrame, rates: DataFrame, base: str = "USD", amount: str = "amount") -> DataFrame:
     """Add ``amount_base``, ``currency_code`` and ``unmapped_currency``.
 
+    A code has one rate (see :func:`one_per_code`), so no row is multiplied.
     Blank or base code: unchanged. Known: multiplied. Unknown: unchanged and the
     code reported, never guessed.
     """
-    table = pin(rates.select(F.col("currency").alias("_code"), F.col("rate").alias("_rate")))
+    table = pin(one_per_code(rates).select(F.col("currency").alias("_code"), F.col("rate").alias("_rate")))
     code = F.col("currency_code")
     as_is = (code == "") | (code == base)
     value = F.coalesce(F.col(amount), F.lit(0.0))

@@ -23,62 +23,74 @@ FIELD_MAPS: dict[str, dict[str, str]] = {
     "US": {"plate": "plate", "make": "brand", "model": "model", "year": "year", "vin": "vin", "color": "color"},
 }
 
-_NODE = "array<struct<name:string,val:string,depth:int,path:array<int>>>"
-# Lists and objects each take one step.
-_LEVELS = 8
-
-
-def _is_container(v: Column) -> Column:
-    return F.coalesce(v.rlike(r"(?s)^\s*[\[{]"), F.lit(False))
+_NODE = "array<struct<name:string,val:string,open:boolean,depth:int,path:array<int>>>"
 
 
 def _children(n: Column) -> Column:
-    """Entries of an object (its containers lie one deeper), or items of a list (same depth)."""
+    """Entries of an object (its containers lie one deeper), or items of a list (same depth).
+
+    The text of a value comes from one reading, in the order of the keys, its type from another:
+    a text that begins like a list or an object is still a text.
+    """
     val, depth, path = n["val"], n["depth"], n["path"]
+    is_open = lambda v: F.coalesce(F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)"), F.lit(False))
 
     def entry(e: Column, i: Column) -> Column:
         return F.struct(
-            alnum_key(e["key"]).alias("name"), e["value"].alias("val"),
-            F.when(_is_container(e["value"]), depth + 1).otherwise(depth).alias("depth"), F.concat(path, F.array(i)).alias("path"),
+            alnum_key(e["t"]["key"]).alias("name"), e["t"]["value"].alias("val"), e["o"].alias("open"),
+            F.when(e["o"], depth + 1).otherwise(depth).alias("depth"), F.concat(path, F.array(i)).alias("path"),
         )
 
-    def item(x: Column, i: Column) -> Column:
-        return F.struct(F.lit(None).cast("string").alias("name"), x.alias("val"), depth.alias("depth"), F.concat(path, F.array(i)).alias("path"))
+    def item(e: Column, i: Column) -> Column:
+        return F.struct(F.lit(None).cast("string").alias("name"), e["t"].alias("val"), e["o"].alias("open"), depth.alias("depth"), F.concat(path, F.array(i)).alias("path"))
+
+    def typed(texts: Column, values: Column) -> Column:
+        return F.zip_with(texts, F.transform(values, is_open), lambda t, o: F.struct(t.alias("t"), o.alias("o")))
+
+    entries = typed(F.map_entries(F.from_json(val, "map<string,string>")), F.map_values(F.from_json(val, "map<string,variant>")))
+    items = typed(F.from_json(val, "array<string>"), F.from_json(val, "array<variant>"))
+    return F.when(val.rlike(r"^\s*\{"), F.transform(entries, entry).cast(_NODE)).otherwise(
+        F.filter(F.transform(items, item), lambda x: x["open"]).cast(_NODE)
+    )
+
 
-    return F.when(
-        val.rlike(r"^\s*\{"), F.transform(F.map_entries(F.from_json(val, "map<string,string>")), entry).cast(_NODE)
-    ).otherwise(F.filter(F.transform(F.from_json(val, "array<string>"), item), lambda x: _is_container(x["val"])).cast(_NODE))
+def nesting(responses: DataFrame) -> int:
+    """Greatest number of containers inside each other in any response: what it takes to open them all."""
+    outside = F.regexp_replace("response", r'"(?:[^"\\]++|\\.)*+"', "")
+    brackets = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return responses.agg(F.max(F.aggregate(brackets, start, step, lambda acc: acc["most"]))).first()[0] or 0
 
 
 def _nodes(responses: DataFrame, id_column: str) -> DataFrame:
     root = F.struct(
         F.lit(None).cast("string").alias("name"), F.col("response").alias("val"),
-        F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
+        F.coalesce(F.col("response").rlike(r"^\s*[\[{]"), F.lit(False)).alias("open"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
     )
     out = responses.select(id_column, root.alias("n"))
-    # Leaves pass through unchanged; each step opens one level of containers.
-    for _ in range(_LEVELS):
-        out = out.select(
-            id_column, F.explode(F.when(_is_container(F.col("n.val")), _children(F.col("n"))).otherwise(F.array("n").cast(_NODE))).alias("n")
-        )
+    # Leaves pass through unchanged; each step opens one level of containers, until none is left.
+    for _ in range(nesting(responses)):
+        out = out.select(id_column, F.explode(F.when(F.col("n.open"), _children(F.col("n"))).otherwise(F.array("n").cast(_NODE))).alias("n"))
     return out
 
 
 def leaves(responses: DataFrame, id_column: str = "plate") -> DataFrame:
-    """Leaf fields per response: the shallowest occurrence of a name wins, then the first seen."""
+    """Leaf fields per response, of any depth: the shallowest occurrence of a name wins, then the first seen.
+
+    Values are the JSON's own text, so a boolean is ``true`` or ``false``.
+    """
     n = _nodes(responses, id_column).select(id_column, "n.*")
-    kept = n.filter(F.col("name").isNotNull() & ~_is_container(F.col("val")) & (clean(F.col("val")) != ""))
+    kept = n.filter(F.col("name").isNotNull() & ~F.col("open") & (clean(F.col("val")) != ""))
     return kept.groupBy(id_column, "name").agg(
         F.min_by(clean(F.col("val")), F.struct("depth", "path")).alias("value")
     )
 
 
-def too_deep(responses: DataFrame, id_column: str = "plate") -> DataFrame:
-    """Responses with containers below the levels that are opened, so none is lost silently."""
-    n = _nodes(responses, id_column).select(id_column, "n.*")
-    return n.filter(_is_container(F.col("val"))).select(id_column).distinct()
-
-
 def field_map(spark: SparkSession) -> DataFrame:
     rows = [(c, leaf, field, k) for c, m in FIELD_MAPS.items() for k, (leaf, field) in enumerate(m.items())]
     return spark.createDataFrame(rows, "country string, name string, field string, priority int")

@@ -13,33 +13,49 @@ from tallyweave.operators.normalize import ROLE_KEYWORDS, canonical, signed_amou
 from tallyweave.operators.ordered import with_ordinal
 from tallyweave.schema import DIR_IN, DIR_OUT
 
-MAX_COLUMNS = 128
 # File kinds an inbox may hold.
 INBOX_SUFFIXES = ("pdf", "csv", "tsv", "xlsx", "xls")
 
 
-def _stem(name: Column) -> Column:
-    return F.regexp_replace(name, r"\.[^.]*$", "")
+def _stem(path: Column) -> Column:
+    """File name without folder and suffix."""
+    return F.regexp_replace(F.element_at(F.split(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/"), -1), r"\.[^.]*$", "")
 
 
-def read_grid(spark: SparkSession, paths: str | Sequence[str], *, separator: str = ",", max_columns: int = MAX_COLUMNS) -> DataFrame:
+def _csv(spark: SparkSession, columns: list[str], paths: str | Sequence[str], separator: str):
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return (
+        spark.read.schema(schema).option("header", False).option("sep", separator).option("mode", "PERMISSIVE")
+        .option("quote", '"').option("escape", '"').option("multiLine", True).option("columnNameOfCorruptRecord", "_whole")
+        .option("ignoreMissingFiles", True).csv(paths if isinstance(paths, str) else list(paths))
+    )
+
+
+def grid_width(spark: SparkSession, paths: str | Sequence[str], separator: str = ",") -> int:
+    """No record of the files has more cells than this (quoted separators count too). One number comes to the driver."""
+    # Read with one column, a longer record is handed over as it stands.
+    raw = _csv(spark, ["first", "_whole"], paths, separator)
+    more = F.length("_whole") - F.length(F.replace(F.col("_whole"), F.lit(separator), F.lit("")))
+    most = raw.agg(F.max(F.coalesce(more, F.lit(0))), F.count("first")).first()[0]
+    return 1 + (most or 0) // len(separator)
+
+
+def read_grid(spark: SparkSession, paths: str | Sequence[str], *, separator: str = ",") -> DataFrame:
     """CSV/TXT files as rows of text cells: ``file, seq, cells`` (all text, header row included).
 
-    Unreadable and missing files contribute nothing. ``seq`` is the position in the file.
+    The width is that of the longest record, read first. Quoted cells may hold
+    separators, doubled quotes and line breaks; for that a file is read by one
+    task. ``file`` is the full path, so files of one name in two folders stay
+    apart. ``seq`` is the position in the file. Missing files contribute
+    nothing; a file that cannot be read to its end fails the read, so no part of
+    one is taken for the whole.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    raw = (
-        spark.read.schema(schema).option("header", False).option("sep", separator).option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-        .csv(paths if isinstance(paths, str) else list(paths))
-    )
-    cells = F.array(*[F.col(f"c{i}") for i in range(max_columns)])
-    # Within a split rows are read in order, and splits are ordered by their start.
+    names = [f"c{i}" for i in range(grid_width(spark, paths, separator))]
+    raw = _csv(spark, names, paths, separator)
     placed = raw.select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"), cells.alias("cells"),
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_row"), F.array(*names).alias("cells"),
     )
-    ordered = with_ordinal(placed, ["file"], [F.col("_block"), F.col("_row")], "seq")
+    ordered = with_ordinal(placed, ["file"], [F.col("_row")], "seq")
     used = F.size(F.filter(F.col("cells"), lambda c: c.isNotNull()))
     return ordered.filter(used > 0).select("file", "seq", "cells")
 
@@ -57,7 +73,8 @@ def load_statements(spark: SparkSession, paths: str | Sequence[str], *, sheet: s
     """Statement files of any mix of layouts -> canonical rows plus ``balance``, in one plan.
 
     Columns take roles by keyword per file. A file without usable roles is read as
-    a simple date/amount table. The account is the file name without its suffix.
+    a simple date/amount table. The account is the file name without its suffix;
+    a key also names the folder where several files share that name.
     """
     table = read_raw_table(spark, paths, detect_header=detect_header)
     r = _roles()
@@ -76,14 +93,18 @@ def load_statements(spark: SparkSession, paths: str | Sequence[str], *, sheet: s
     date = F.when(usable, r["date"]).otherwise(exact("value_date", "date"))
     description = F.when(usable, r["description"]).otherwise(exact("description", "narration", "type"))
     rows = table.select(
-        _stem(F.col("file")).alias("account_ref"), "seq", date.alias("value_date"), value.alias("amount"),
+        "file", _stem(F.col("file")).alias("account_ref"), "seq", date.alias("value_date"), value.alias("amount"),
         direction.alias("direction"), F.coalesce(description, F.lit("")).alias("description"),
         clean(cell_named("currency")).alias("currency"), r["balance"].alias("balance"),
     ).filter(blank_to_null(F.col("value_date")).isNotNull() & F.col("amount").isNotNull())
+    # One row per file: which names are taken twice.
+    folders = table.select("file").distinct().groupBy(_stem(F.col("file")).alias("account_ref")).agg(F.count("*").alias("_files"))
+    rows = rows.join(folders, "account_ref")
+    place = F.when(F.col("_files") > 1, F.concat(F.lit("@"), F.substring(F.md5("file"), 1, 12))).otherwise("")
     keyed = rows.withColumns(
         {
             "borrower": F.lit(None).cast("string"),
-            "key": F.concat(F.lit("bank:"), F.col("account_ref"), F.lit(":"), F.col("seq").cast("string")),
+            "key": F.concat(F.lit("bank:"), F.col("account_ref"), place, F.lit(":"), F.col("seq").cast("string")),
             "sheet": F.lit(sheet), "source_type": F.lit(sheet), "confidence": F.lit(1.0),
         }
     )
@@ -96,9 +117,9 @@ def _cell_exact(name: str) -> Column:
 
 
 def read_statement_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Extracted statement text, one row per file."""
+    """Extracted statement text, one row per file; ``file`` is the full path."""
     return spark.read.option("wholetext", True).text(paths if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
     )
 
 
@@ -171,10 +192,14 @@ def load_registry_results(spark: SparkSession, paths: Sequence[str]) -> DataFram
         "status": ("status",), "owner": ("propietario", "owner"), "state": ("estado",),
         "brand": ("marca", "make"), "model": ("modelo", "model"), "verified_date": ("verified date", "verified_date"),
     }
-    names = F.array(*[F.lit(p.rsplit("/", 1)[-1]) for p in paths])
     t = read_raw_table(spark, paths)
+    # A path is given with or without its file system; the longest one that ends the file's path is meant.
+    bare = [p.split("://", 1)[-1].split(":", 1)[-1] for p in paths]
+    place = F.lit(None).cast("int")
+    for k, p in sorted(enumerate(bare), key=lambda x: len(x[1])):
+        place = F.when(F.endswith(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))), F.lit(p)), F.lit(k)).otherwise(place)
     rows = t.select(
         clean(F.get(F.col("cells"), F.lit(0))).alias("plate"), *[clean(cell_named(*w)).alias(f) for f, w in words.items()],
-        F.array_position(names, F.col("file")).alias("file_order"), "seq",
+        place.alias("file_order"), "seq",
     )
     return latest_results(rows)

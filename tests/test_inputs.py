@@ -95,6 +95,20 @@ def test_statement_files_of_different_layouts(spark):
     assert {b.account_ref: b.closing_balance for b in bal} == {"split": 1490.25}
 
 
+def test_wide_rows_quotes_and_equal_names(spark):
+    wide = ",".join(["date", "amount", "description", *[f"x{i}" for i in range(140)], "balance"])
+    row = ",".join(["2024-01-01", "5", '"He said ""hi"", twice\nand left"', *["0"] * 140, "77"])
+    one, two = _write(statement__csv=f"{wide}\n{row}\n"), _write(statement__csv="date,amount\n2024-02-01,1\n2024-02-02,2\n")
+    rows = tables.load_statements(spark, [one, two]).orderBy("value_date").collect()
+    assert [(r.account_ref, r.amount, r.balance) for r in rows] == [("statement", 5.0, "77"), ("statement", 1.0, None), ("statement", 2.0, None)]
+    assert rows[0].description == 'He said "hi", twice\nand left' and len({r.key for r in rows}) == 3
+    texts = tables.read_statement_text(spark, [one, two])
+    assert texts.select("file").distinct().count() == 2
+    a, b = _write(r__csv="Placa,Status\nA1,Found\n"), _write(r__csv="Placa,Status\nA1,No data\n")
+    for order, last in (((a, b), "No data"), ((b, a), "Found")):
+        assert tables.load_registry_results(spark, [f"{p}/r.csv" for p in order]).first().status == last
+
+
 def test_header_below_title_rows(spark):
     folder = _write(grid__csv="Statement of account\nOwner,Someone\nDate,Amount\n2024-01-01,3\n")
     got = tables.load_statements(spark, folder, detect_header=True).collect()
@@ -206,11 +220,17 @@ def test_registry_documents(spark):
     deep = "1"
     for _ in range(12):
         deep = '{"a":' + deep + "}"
-    assert registry_json.too_deep(spark.createDataFrame([("z", deep)], "plate string, response string")).count() == 1
+    got = registry_json.leaves(spark.createDataFrame([("z", deep)], "plate string, response string")).collect()
+    assert [(r.name, r.value) for r in got] == [("a", "1")]
+    like = '{"color":"[metallic] red","status":"{ok","model":["x",{"year":2001}],"flag":true}'
+    got = {r.name: r.value for r in registry_json.leaves(spark.createDataFrame([("z", like)], "plate string, response string")).collect()}
+    assert got == {"color": "[metallic] red", "status": "{ok", "year": "2001", "flag": "true"}
 
 
 def test_rates(spark):
     feed = spark.createDataFrame([('{"date":"2024-01-01","usd":{"kes":128.0,"bad":0}}',)], "json string")
+    later = spark.createDataFrame([('{"date":"2024-01-02","usd":{"kes":129.0}}',), ('{"date":"2024-01-01","usd":{"kes":1.0}}',)], "json string")
+    assert [(r.currency, r.rate) for r in fx.feed_rates(feed.unionByName(later)).collect()] == [("KES", 1 / 129)]
     live = fx.feed_rates(feed)
     both = fx.overlay_rates(live, fx.static_rates(spark, FxPolicy.from_mapping({"rates": {"kes": 1, "pen": 0.25}})))
     assert {r.currency: (r.rate, r.source) for r in both.collect()} == {"KES": (1 / 128, "live"), "PEN": (0.25, "static")}
