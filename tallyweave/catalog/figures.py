@@ -238,8 +238,8 @@ ENTRIES["recon_choose_sides"] = Entry(
 
 def _audit(s: SparkSession, d: str) -> DataFrame:
     tape = view(s, d, "loan_tape")
-    have = {r[0]: tape.columns if r[0] != "BUILDING" else [c for c in tape.columns if c != "fee_outstanding"] for r in tape.select("borrower").distinct().collect()}
-    return profile.schema_audit(s, have)
+    have = tape.select("borrower").distinct().select("borrower", F.explode(F.array(*[F.lit(c) for c in tape.columns])).alias("column"))
+    return profile.schema_audit(have.filter(~((F.col("borrower") == "BUILDING") & (F.col("column") == "fee_outstanding"))))
 
 
 ENTRIES["prof_schema_audit"] = Entry(

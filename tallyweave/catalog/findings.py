@@ -134,15 +134,24 @@ ENTRIES["asset_sheet"] = Entry(
 
 
 @lru_cache(maxsize=4)
-def _run(app: str, s: SparkSession, d: str) -> verification.Verification:
+def _run(app: str, s: SparkSession, d: str, state: tuple) -> verification.Verification:
     return verification.verify(
         verification.Inputs(tape=view(s, d, "loan_tape"), bank=bank(s, d), ledger=ledger(s, d), rates=rates(s, d), balances=balances(s, d)), LIMITS, COLUMNS
     )
 
 
 def run(s: SparkSession, d: str) -> verification.Verification:
-    """One verification per application and data set: the lists and reports below read its written tables."""
-    return _run(s.sparkContext.applicationId, s, d)
+    """One verification per application and state of the data: the lists and reports below read its written tables.
+
+    The state is the length and time of change of the input files, so changed tables are verified anew.
+    """
+    hadoop, conf = s._jvm.org.apache.hadoop.fs, s.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for t in ("customer", "orders", "lineitem", "part", "supplier", "events"):
+        path = hadoop.Path(f"{d}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)] if fs.exists(path) else []
+    return _run(s.sparkContext.applicationId, s, d, tuple(state))
 
 
 _ANOM = " UNION ALL ".join(f"SELECT borrower, id, rule, 'anomaly' AS kind, severity, description FROM ({q}) r" for q in SQL.values())

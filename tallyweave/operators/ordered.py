@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.money import EXACT
-from tallyweave.session import cut, pin
+from tallyweave.session import cut, pin, settle
 
 HOT_ROWS = 2_000_000
 _SUM = "decimal(38,10)"
@@ -90,14 +90,25 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The value of the row before, within a key: by neighbouring ordinals, so no key is gathered."""
-    keys = list(keys)
-    placed = with_ordinal(df, keys, order, "_at", hot_rows=hot_rows)
+    """The value of the row before, within a key.
+
+    ``lag`` where a key fits one task; rows of keys above ``hot_rows`` meet their
+    neighbour by ordinal, so no such key is gathered.
+    """
+    keys, order = list(keys), list(order)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    lagged = F.lag(F.col(value)).over(Window.partitionBy(*keys).orderBy(*order))
+    if hot.isEmpty():
+        return df.withColumn(name, lagged)
+    marked = pin(hot.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    cold = df.join(marked, same, "left_anti").withColumn(name, lagged)
+    placed = with_ordinal(df.join(marked, same, "left_semi"), keys, order, "_at", hot_rows=hot_rows)
     before = placed.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_at") + 1).alias("_next"), F.col(value).alias(name)
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_at") == F.col("_next")]
-    return placed.join(before, same, "left").drop("_at", "_next", *[f"_k_{k}" for k in keys])
+    joined = placed.join(before, [*same, F.col("_at") == F.col("_next")], "left")
+    return cold.unionByName(joined.select(*cold.columns))
 
 
 def _magnitude_bin(v: Column) -> Column:
@@ -109,13 +120,14 @@ def _magnitude_bin(v: Column) -> Column:
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", *, which: str = "mean"
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", *, which: str = "mean", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact median per key: the mean of the two middle values, or with ``which="upper"`` the upper one.
 
     Values are counted into a histogram (combined map-side), the histogram into
     bins, and only the bins that hold a middle value are opened. No task sees
-    more than one key's bins or the distinct values of one bin.
+    more than one key's bins; a bin with very many distinct values is laid out
+    over many tasks.
     """
     keys = list(keys)
     hist = (
@@ -136,10 +148,11 @@ def exact_median(
     )
     # Null-safe equality adds no filter to one side only, so both read one histogram exchange.
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_bin"]]
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    # Written once: the few values of the opened bins are sized first and then laid out.
+    inside = settle(hist.join(opened, same).select(*keys, "_bin", "_v", "_c", "_n", "_before"))
     placed = (
-        hist.join(opened, same)
-        .withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+        exclusive_prefix(inside, [*keys, "_bin"], [F.col("_v")], ["_c"], hot_rows=hot_rows)
+        .withColumn("_from", F.col("_before") + F.col("_c_before").cast("long"))
         .withColumn("_to", F.col("_from") + F.col("_c"))
     )
     pick_lo = F.max(F.when((F.col("_from") <= lo) & (F.col("_to") > lo), F.col("_v")))

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.config import TAPE_EXPECTED_MONEY, TapeColumns
 from tallyweave.functions.text import blank_to_null
 
 
 def schema_audit(
-    spark: SparkSession, tables: Mapping[str, Sequence[str]], config: TapeColumns | None = None,
-    expected: Sequence[str] = TAPE_EXPECTED_MONEY,
+    columns: DataFrame, config: TapeColumns | None = None, expected: Sequence[str] = TAPE_EXPECTED_MONEY,
 ) -> DataFrame:
-    """Which expected fields each borrower's table has. ``tables``: borrower -> column names (metadata only)."""
-    config = config or TapeColumns()
-    rows = [
-        (b, f, config.resolve(b).get(f, f), config.resolve(b).get(f, f) in set(columns))
-        for b, columns in tables.items() for f in expected
-    ]
-    return spark.createDataFrame(rows, "borrower string, field string, column string, present boolean")
+    """``borrower, field, column, present``: which expected fields each borrower's table has.
+
+    ``columns`` (borrower, column) lists the tables' columns, for any number of
+    borrowers. Only the configured names, a constant, come from the driver.
+    """
+    config, spark = config or TapeColumns(), columns.sparkSession
+    usual = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(config.resolve().get(f, f)).alias("_usual")) for f in expected])
+    own = spark.createDataFrame(
+        [(b, f, c) for b, names in config.overrides.items() for f, c in names.items() if f in expected], "borrower string, field string, _own string"
+    )
+    asked = columns.select("borrower").distinct().select("borrower", F.inline(usual)).join(own, ["borrower", "field"], "left")
+    asked = asked.select("borrower", "field", F.coalesce("_own", "_usual").alias("column"))
+    have = columns.select("borrower", "column").distinct().withColumn("_have", F.lit(True))
+    return asked.join(have, ["borrower", "column"], "left").select("borrower", "field", "column", F.coalesce("_have", F.lit(False)).alias("present"))
 
 
 def population(df: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("borrower",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,10 +21,14 @@ class Findings:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Canonical rows with the rule amount, and the portfolio median per borrower."""
+    """Canonical rows with the rule amount, and the portfolio median per borrower for the rules that ask for it."""
 
     rows: DataFrame
-    medians: DataFrame
+
+    @cached_property
+    def medians(self) -> DataFrame:
+        """One number per borrower, computed at most once."""
+        return pin(exact_median(self.rows, ["borrower"], "amt", "median_amt"))
 
     def with_median(self, rows: DataFrame | None = None) -> DataFrame:
         return (rows if rows is not None else self.rows).join(self.medians, "borrower")
@@ -44,9 +49,7 @@ def prepare(rows: DataFrame, amount: str | None = None, *, settled: bool = False
         F.coalesce(F.col(amount), F.lit(0.0)).alias("amt"),
     )
     lean = lean if settled else settle(lean)
-    # One number per borrower, used by three rules: computed once.
-    medians = pin(exact_median(lean, ["borrower"], "amt", "median_amt"))
-    return Prepared(lean, medians)
+    return Prepared(lean)
 
 
 def exception_id(rule: str, suffix: Column) -> Column:

@@ -48,19 +48,22 @@ def report_header(runs: DataFrame, exceptions: DataFrame, limits: Thresholds) ->
     )
 
 
-def write_report(header: DataFrame, exceptions: DataFrame, evidence: DataFrame, path: str, limits: Thresholds) -> None:
-    """A run's report: header, exceptions and evidence as JSON lines by borrower.
+def write_report(
+    header: DataFrame, exceptions: DataFrame, evidence: DataFrame, path: str, limits: Thresholds, *, run: str = "run"
+) -> None:
+    """A run's report: header, exceptions and evidence as JSON lines by run and borrower.
 
     The exceptions are not packed into one document: one run may have very many.
+    ``run`` names the run or batch; writing it again replaces what it wrote, so a
+    retried batch leaves one report.
     """
-    header.write.mode("append").partitionBy("borrower").json(f"{path}/header")
-    report_parts(exceptions, limits).write.mode("append").partitionBy("borrower").json(f"{path}/exceptions")
-    evidence.write.mode("append").partitionBy("borrower").json(f"{path}/evidence")
+    for part, df in (("header", header), ("exceptions", report_parts(exceptions, limits)), ("evidence", evidence)):
+        df.write.mode("overwrite").partitionBy("borrower").json(f"{path}/{part}/run={run}")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report headers, one row per run; a report without a borrower counts as uploaded."""
-    df = spark.read.json(f"{path}/header")
+    df = spark.read.json(f"{path}/header").drop("run")
     return df.withColumn("borrower", F.coalesce(F.nullif(F.col("borrower"), F.lit("")), F.lit("uploaded")))
 
 

@@ -61,6 +61,10 @@ class WatchPaths:
     def decisions(self) -> str:
         return f"{self.root}/decisions"
 
+    @property
+    def errors(self) -> str:
+        return f"{self.root}/errors"
+
 
 def decide(current: DataFrame, previous: DataFrame, arrivals: DataFrame | None = None, *, cut_off: str = "", hard_stop: bool = True) -> DataFrame:
     """What to do per changed borrower: 'run' or 'held' (changed after the cut-off under a hard stop)."""
@@ -76,14 +80,20 @@ def decide(current: DataFrame, previous: DataFrame, arrivals: DataFrame | None =
 
 def watch_tapes(
     tapes: DataFrame, paths: WatchPaths, checkpoint: str, run: Callable[[DataFrame, DataFrame], DataFrame] | None = None, *,
+    arrivals: Callable[[SparkSession], DataFrame] | None = None,
     date_column: str = "begin_date", cut_off: str = "", hard_stop: bool = True, dry_run: bool = False,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Watch a stream of full tape snapshots (``borrower`` and the tape's columns, complete per borrower and batch).
 
     ``run(decisions, batch)`` verifies the borrowers to run and returns those that
-    failed (``borrower``); a failed borrower keeps no fingerprint, so it is tried
-    again. Nothing is run in a dry run.
+    failed (``borrower``, and ``error`` if it has one); a failed borrower keeps no
+    fingerprint, so it is tried again, and the others go on. If ``run`` itself
+    breaks off, all of its borrowers count as failed and the stream goes on.
+    Failures are written to ``paths.errors``. ``arrivals(spark)`` lists borrowers
+    with new statement files: they are run although their tape is unchanged.
+    Nothing is run in a dry run, which leaves each borrower's status and
+    fingerprint as they were.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -91,18 +101,27 @@ def watch_tapes(
         snapshot = settle(batch)
         current = audit.watermark(snapshot, date_column=date_column)
         previous = latest(spark, paths.state, STATE, before=batch_id)
-        decisions = settle(decide(current, previous, cut_off=cut_off, hard_stop=hard_stop))
-        failed = None
-        if run is not None and not dry_run:
-            failed = run(decisions.filter("action = 'run'"), snapshot)
+        came = arrivals(spark) if arrivals is not None else None
+        decisions = settle(decide(current, previous, came, cut_off=cut_off, hard_stop=hard_stop))
         save(decisions, paths.decisions, batch_id)
-        new = decisions.filter("tape_changed").select(
+        if dry_run:
+            save(previous, paths.state, batch_id)
+            return
+        to_run, failed = decisions.filter("action = 'run'"), None
+        if run is not None:
+            try:
+                failed = run(to_run, snapshot)
+            except Exception as exc:  # noqa: BLE001 - written down below; one batch's failure does not end the watch
+                failed = to_run.select("borrower", F.lit(f"{type(exc).__name__}: {exc}"[:1000]).alias("error"))
+        new = decisions.select(
             "borrower", "watermark", "rows", "latest_date",
             F.when(F.col("action") == "run", F.lit("done")).otherwise(F.lit("held")).alias("run_status"), "post_cut_off",
         )
         if failed is not None:
-            bad = failed.select("borrower").distinct().withColumn("_bad", F.lit(True))
-            new = new.join(bad, "borrower", "left").withColumns(
+            reason = F.max("error") if "error" in failed.columns else F.lit(None).cast("string")
+            bad = settle(failed.groupBy("borrower").agg(reason.alias("error")))
+            save(bad, paths.errors, batch_id)
+            new = new.join(bad.select("borrower", F.lit(True).alias("_bad")), "borrower", "left").withColumns(
                 {"watermark": F.when(F.col("_bad").isNull(), F.col("watermark")), "run_status": F.when(F.col("_bad"), F.lit("failed")).otherwise(F.col("run_status"))}
             ).drop("_bad")
         kept = previous.join(new.select("borrower"), "borrower", "left_anti")

@@ -87,3 +87,10 @@ def test_exact_matching_and_report(spark):
 def test_contained_pairs_without_needles(spark):
     hays = spark.createDataFrame([(1, "abc")], "hay_id long, hay string")
     assert match.contained_pairs(spark.createDataFrame([("",)], "needle string"), hays).count() == 0
+
+
+def test_median_of_one_bin_with_very_many_values(spark):
+    # All values share four leading digits, so they fall into one bin, which is laid out.
+    df = spark.range(4001).select(F.lit("k").alias("k"), (F.lit(1000.0) + F.col("id") / 100000.0).alias("v"))
+    for which in ("mean", "upper"):
+        assert exact_median(df, ["k"], "v", which=which, hot_rows=100).first()["median"] == 1000.0 + 2000 / 100000.0

@@ -56,6 +56,33 @@ def test_watch_holds_changes_after_the_cut_off(spark):
     assert {r.borrower: r.run_status for r in watch.latest(spark, paths.state, watch.STATE).collect()} == {"a": "done", "b": "held"}
 
 
+def test_dry_run_changes_nothing_and_arrivals_and_errors_are_handled(spark):
+    source, ckpt, paths = _folder(), _folder(), watch.WatchPaths(_folder())
+    rows, seen = [("a", "1", "2024-01-01", 1.0), ("b", "1", "2024-01-01", 1.0)], []
+
+    def state():
+        return {r.borrower: (r.run_status, r.watermark is None) for r in watch.latest(spark, paths.state, watch.STATE).collect()}
+
+    def fine(decisions, batch):
+        seen.append(sorted(r[0] for r in decisions.select("borrower").collect()))
+
+    def breaks(decisions, batch):
+        raise RuntimeError("no connection")
+
+    _tape(spark, rows).write.mode("append").parquet(source)
+    _watch(spark, source, paths, ckpt, run=fine, dry_run=True)
+    assert seen == [] and state() == {}
+    for run in (breaks, fine):
+        _tape(spark, rows).write.mode("append").parquet(source)
+        _watch(spark, source, paths, ckpt, run=run)
+        if run is breaks:
+            assert state() == {"a": ("failed", True), "b": ("failed", True)}
+            assert {(r.borrower, r.error) for r in spark.read.parquet(paths.errors).collect()} == {(x, "RuntimeError: no connection") for x in "ab"}
+    _tape(spark, rows).write.mode("append").parquet(source)
+    _watch(spark, source, paths, ckpt, run=fine, arrivals=lambda s: s.createDataFrame([("b",)], "borrower string"))
+    assert seen == [["a", "b"], ["b"]] and state() == {"a": ("done", False), "b": ("done", False)}
+
+
 def test_statement_arrival_triggers_a_run_without_a_tape_change(spark):
     current = spark.createDataFrame([("a", "w1", 1, "2024-01-01"), ("b", "w2", 1, "2024-01-01")], "borrower string, watermark string, rows long, latest_date string")
     arrivals = spark.createDataFrame([("b", "f1"), ("b", "f2")], "borrower string, fingerprint string")
