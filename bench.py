@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -13,8 +14,8 @@ from tallyweave.catalog import entries
 # rank_minmax runs all seven anomaly rules; set BENCH_QUERIES to a comma list for others.
 HEADLINE = (
     "map_tape_events", "map_statement_rows", "map_dedupe", "fx_convert", "agg_cash_by_borrower",
-    "agg_tape_summary", "agg_cohort_counts", "stat_portfolio_median", "recon_exceptions", "anom_duplicate", "anom_seqjump",
-    "anom_microsplit", "rank_minmax", "asset_existence",
+    "agg_by_month", "agg_tape_summary", "agg_cohort_counts", "stat_portfolio_median", "recon_exceptions", "anom_duplicate", "anom_round",
+    "anom_roundtrip", "anom_volume", "anom_offhours", "anom_seqjump", "anom_microsplit", "rank_minmax", "asset_existence",
     "match_exact", "match_partial", "stmt_parse", "stmt_shape", "stmt_running_balance", "stmt_positioned_rows",
     "watch_changes", "audit_lead_time", "review_transitions",
 )
@@ -29,6 +30,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tallyweave-bench-')}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

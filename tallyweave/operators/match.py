@@ -102,12 +102,29 @@ def candidate_slots(left: DataFrame, right: DataFrame) -> DataFrame:
     return edges.join(right.withColumnRenamed("v", "w"), "w").select("v", "i", "is_exact")
 
 
+def _shared_lists(slots: DataFrame) -> DataFrame:
+    """``v, g``: texts whose lists of slots are equal share the smallest of them as ``g``.
+
+    Lists are compared by length and two independent sums of hashes, so none is gathered.
+    """
+    h = F.xxhash64("i", "is_exact")
+    lists = slots.groupBy("v").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(h, F.lit(7))).alias("_x")
+    )
+    same = ["_n", "_s", "_x"]
+    return lists.join(lists.groupBy(*same).agg(F.min("v").alias("g")), same).select("v", "g")
+
+
 def _stable_pairs(left: DataFrame, right: DataFrame, hot_rows: int) -> DataFrame:
-    """Rounds of proposals. Rows of one text share a preference list, so the k-th
-    free row goes straight to the k-th slot still open to that text: the slots it
-    skips are held by earlier rows and would refuse it."""
-    slots = cut(candidate_slots(left, right))
-    free = left.join(slots.select("v").distinct(), "v", "left_semi")
+    """Rounds of proposals. Rows whose texts have equal lists of slots share a preference list, so the k-th
+    free row goes straight to the k-th slot still open to that list: the slots it
+    skips are held by earlier rows and would refuse it. However many rows and
+    texts want the same slots, they are served in one round; only lists that
+    overlap in part take turns."""
+    all_slots = cut(candidate_slots(left, right))
+    shared = cut(_shared_lists(all_slots))
+    slots = cut(all_slots.join(shared.filter("v = g"), "v", "left_semi"))
+    free = left.join(shared, "v").select("r", F.col("g").alias("v"))
     held: DataFrame | None = None
     while True:
         first = free.groupBy("v").agg(F.min("r").alias("first_free"))

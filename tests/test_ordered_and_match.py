@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import match
 from tallyweave.operators.ordered import exact_median, exclusive_prefix, previous_value
+from tallyweave.session import cut
 
 
 def _rows(n, seed):
@@ -94,3 +95,16 @@ def test_median_of_one_bin_with_very_many_values(spark):
     df = spark.range(4001).select(F.lit("k").alias("k"), (F.lit(1000.0) + F.col("id") / 100000.0).alias("v"))
     for which in ("mean", "upper"):
         assert exact_median(df, ["k"], "v", which=which, hot_rows=100).first()["median"] == 1000.0 + 2000 / 100000.0
+
+
+def test_rounds_do_not_grow_with_rows_that_want_the_same_slots(spark, monkeypatch):
+    counts = []
+    for n in (3, 9):
+        calls = []
+        monkeypatch.setattr(match, "cut", lambda df, calls=calls: (calls.append(1), cut(df))[1])
+        a = spark.createDataFrame([(k, f"fee {k:04d}") for k in range(n)], "seq long, description string")
+        b = spark.createDataFrame([(k, "fee") for k in range(n)], "seq long, description string")
+        got = {p.reported_seq: p.independent_seq for p in match.match(a, b).collect()}
+        assert got == {k: k for k in range(n)}
+        counts.append(len(calls))
+    assert counts[0] == counts[1]
