@@ -63,47 +63,67 @@ def load_pieces(model: str = MODEL) -> Pieces:
     )
 
 
+class Remembered(dict):
+    """Words and units already cut. When the young ones are many they become the old ones, and the
+    former old ones go; what is used again is young again. So memory is bounded and frequent words stay."""
+
+    MOST = 250_000
+
+    def __init__(self, cut):
+        super().__init__()
+        self.cut, self.old = cut, {}
+
+    def __missing__(self, text: str):
+        got = self.old.get(text)
+        if got is None:
+            got = self.cut(text)
+        if len(self) >= self.MOST:
+            self.old = dict(self)
+            self.clear()
+        self[text] = got
+        return got
+
+
 class Segmenter:
     """Encodes and decodes with one vocabulary; one per worker."""
 
-    MOST = 300_000  # units and words remembered
-
     def __init__(self, vocab: Pieces, n: int):
         self.vocab, self.n = vocab, n
-        self.edges: dict[str, tuple[tuple[int, ...], float] | None] = {}
+        # A node of the tree of pieces: nodes by next character, ids and score of the piece that ends here.
+        self.root: tuple[dict, list] = ({}, [])
         inside: set[str] = set()
         spanned = False
         for i, (p, s) in enumerate(zip(vocab.pieces, vocab.scores)):
             if not vocab.usable[i]:
                 continue
-            for k in range(1, len(p)):
-                self.edges.setdefault(p[:k], None)
-                inside.add(p[k - 1 : k + 1])
-            self.edges[p] = ((i,), s)
+            inside.update(p[k - 1 : k + 1] for k in range(1, len(p)))
+            node = self.root
+            for c in p:
+                node = node[0].setdefault(c, ({}, []))
+            node[1][:] = [((i,), s)]
             spanned |= SPACE in p.lstrip(SPACE)
         self.inside = inside
         # Models bar pieces with a score of -1e9; those do not count as the lowest.
         self.unk_score = min((s for i, s in enumerate(vocab.scores) if vocab.usable[i] and s > BARRED), default=0.0) - UNKNOWN_PENALTY
         # Where no piece holds a space after another character, words are independent.
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S) if not spanned else re.compile("(?s).+")
-        self.units: dict[str, tuple] = {}
-        self.known: dict[str, tuple] = {}
+        self.known = Remembered(self.cut)
         # A byte decodes on its own; it is put together with its neighbours when text is made.
         self.out = [p.replace(SPACE, " ") for p in vocab.pieces]
 
     def arcs(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end, the arcs (start, ids, score) of the lattice."""
-        get, n = self.edges.get, len(unit)
+        n = len(unit)
         into: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                e = get(unit[i:j], 0)
-                if e == 0:
+            node, single = self.root, False
+            for j in range(i, n):
+                node = node[0].get(unit[j])
+                if node is None:
                     break
-                if e is not None:
-                    into[j].append((i, e[0], e[1]))
-                    single |= j == i + 1
+                for ids, s in node[1]:
+                    into[j + 1].append((i, ids, s))
+                    single |= j == i
             if not single:
                 into[i + 1].append((i, self.unknown(unit[i]), self.unk_score))
         return into
@@ -141,68 +161,69 @@ class Segmenter:
 
         Of equally good arcs into a place the one with the smaller last id leads, as in ``search``.
         """
-        get, n, none = self.edges.get, len(u), float("-inf")
+        n, none, root = len(u), float("-inf"), self.root
         best, second, back = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
-
-        def arc(i, j, ids, s):
-            x, y = best[i] + s, second[i] + s
-            if x > best[j]:
-                y = max(y, best[j])
-                best[j], back[j] = x, (i, ids)
-            else:
-                if x == best[j] and ids[::-1] < back[j][1][::-1]:
-                    back[j] = (i, ids)
-                y = max(y, x)
-            if y > second[j]:
-                second[j] = y
-
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                e = get(u[i:j], 0)
-                if e == 0:
+            first, other, node, single = best[i], second[i], root, False
+            for j in range(i, n):
+                node = node[0].get(u[j])
+                if node is None:
                     break
-                if e is not None:
-                    single |= j == i + 1
-                    arc(i, j, e[0], e[1])
+                if not node[1]:
+                    continue
+                ids, s = node[1][0]
+                x, y, at = first + s, other + s, j + 1
+                if j == i:
+                    single = True
+                if x > best[at]:
+                    if best[at] > y:
+                        y = best[at]
+                    best[at], back[at] = x, (i, ids)
+                else:
+                    if x == best[at] and ids[::-1] < back[at][1][::-1]:
+                        back[at] = (i, ids)
+                    if x > y:
+                        y = x
+                if y > second[at]:
+                    second[at] = y
             if not single:
-                arc(i, i + 1, self.unknown(u[i]), self.unk_score)
+                # Only longer pieces from further left can compete with a character without a piece.
+                ids, at = self.unknown(u[i]), i + 1
+                x, y = first + self.unk_score, other + self.unk_score
+                if x > best[at]:
+                    y = max(y, best[at])
+                    best[at], back[at] = x, (i, ids)
+                else:
+                    if x == best[at] and ids[::-1] < back[at][1][::-1]:
+                        back[at] = (i, ids)
+                    y = max(y, x)
+                second[at] = max(second[at], y)
         at, ids = n, []
         while at:
             at, last = back[at]
             ids.extend(last[::-1])
         return array("i", ids[::-1]).tobytes(), best[n], best[n] - second[n]
 
-    def unit(self, u: str) -> tuple[bytes, float, float]:
-        """Packed ids, score and the loss of the second best (infinite if there is none)."""
-        got = self.units.get(u)
-        if got is None:
-            if len(self.units) >= self.MOST:
-                self.units.clear()
-            got = self.units[u] = self.viterbi(u)
-        return got
-
     def split(self, word: str) -> list[str]:
         """Units of a word: no piece holds the two characters at a cut."""
         cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.inside]
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
 
-    def word(self, w: str) -> tuple[bytes, float, float]:
-        """Packed ids, score and the least loss of a second best among the word's units."""
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) >= self.MOST:
-                self.known.clear()
-            parts = [self.unit(u) for u in self.split(w)]
-            got = self.known[w] = (b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts))
-        return got
+    def cut(self, word: str) -> tuple[bytes, float, float]:
+        """Packed ids, score and the loss of the second best (infinite if there is none) of a word or unit."""
+        units = self.split(word)
+        if len(units) == 1:
+            return self.viterbi(word)
+        parts = [self.known[u] for u in units]
+        return b"".join([p[0] for p in parts]), sum(p[1] for p in parts), min(p[2] for p in parts)
 
     def encode(self, text: str) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """Ids and score of the best segmentation, and the next ``n - 1`` as (score, spans)."""
         if not text:
             return np.empty(0, dtype=np.int32), 0.0, []
         words = self.words.findall((SPACE if self.vocab.dummy_prefix else "") + text.replace(" ", SPACE))
-        got = [self.word(w) for w in words]
+        known = self.known
+        got = [known[w] for w in words]
         ids = np.frombuffer(b"".join([g[0] for g in got]), dtype=np.int32)
         score = float(sum(g[1] for g in got))
         return ids, score, self.alternatives(words, got, score) if self.n > 1 else []
@@ -221,7 +242,7 @@ class Segmenter:
         for k in chosen[np.isfinite(loss[chosen])]:
             at = int(starts[k])
             for u in self.split(words[k]):
-                packed, _, second = self.unit(u)
+                packed, _, second = self.known[u]
                 if second < float("inf"):
                     slots.append((at, len(packed) // 4, self.search(u, self.n)))
                 at += len(packed) // 4
