@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -103,11 +104,21 @@ class Segmenter:
             node[1][:] = [((i,), s)]
             spanned |= SPACE in p.lstrip(SPACE)
         self.inside = inside
+        # Finds all pieces of a word in one pass; used where every character is a piece itself.
+        self.finder = ahocorasick.Automaton()
+        for i, (p, s) in enumerate(zip(vocab.pieces, vocab.scores)):
+            if vocab.usable[i]:
+                self.finder.add_word(p, (len(p) - 1, (i,), s))
+        if len(self.finder):
+            self.finder.make_automaton()
+        self.single = {p for i, p in enumerate(vocab.pieces) if vocab.usable[i] and len(p) == 1}
         # Models bar pieces with a score of -1e9; those do not count as the lowest.
         self.unk_score = min((s for i, s in enumerate(vocab.scores) if vocab.usable[i] and s > BARRED), default=0.0) - UNKNOWN_PENALTY
         # Where no piece holds a space after another character, words are independent.
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S) if not spanned else re.compile("(?s).+")
         self.known = Remembered(self.cut)
+        self.best_of = Remembered(lambda unit: self.search(unit, self.n))
+        self.borders = re.compile(r"\b").finditer
         # A byte decodes on its own; it is put together with its neighbours when text is made.
         self.out = [p.replace(SPACE, " ") for p in vocab.pieces]
 
@@ -163,7 +174,23 @@ class Segmenter:
         """
         n, none, root = len(u), float("-inf"), self.root
         best, second, back = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
-        for i in range(n):
+        fast = self.single.issuperset(u)
+        for end, (less, ids, s) in self.finder.iter(u) if fast else ():
+            i = end - less
+            end += 1
+            x, y, b = best[i] + s, second[i] + s, best[end]
+            if x > b:
+                if b > y:
+                    y = b
+                best[end], back[end] = x, (i, ids)
+            else:
+                if x > y:
+                    y = x
+                if x == b and ids < back[end][1]:
+                    back[end] = (i, ids)
+            if y > second[end]:
+                second[end] = y
+        for i in range(0 if fast else n):
             first, other, node, single = best[i], second[i], root, False
             for j in range(i, n):
                 node = node[0].get(u[j])
@@ -205,9 +232,9 @@ class Segmenter:
         return array("i", ids[::-1]).tobytes(), best[n], best[n] - second[n]
 
     def split(self, word: str) -> list[str]:
-        """Units of a word: no piece holds the two characters at a cut."""
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.inside]
-        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+        """Units of a word: cut where letters end or begin, if no piece holds the two characters there."""
+        cuts = [k for k in map(_AT, self.borders(word)) if 0 < k < len(word) and word[k - 1 : k + 1] not in self.inside]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
     def cut(self, word: str) -> tuple[bytes, float, float]:
         """Packed ids, score and the loss of the second best (infinite if there is none) of a word or unit."""
@@ -225,12 +252,12 @@ class Segmenter:
         known = self.known
         got = [known[w] for w in words]
         ids = np.frombuffer(b"".join([g[0] for g in got]), dtype=np.int32)
-        score = float(sum(g[1] for g in got))
+        score = float(sum([g[1] for g in got]))
         return ids, score, self.alternatives(words, got, score) if self.n > 1 else []
 
     def alternatives(self, words, got, score):
         more = self.n - 1
-        loss = np.fromiter((g[2] for g in got), dtype=np.float64, count=len(got))
+        loss = np.array([g[2] for g in got])
         if len(loss) > more:
             limit = np.partition(loss, more - 1)[more - 1]
             chosen = np.flatnonzero(loss < limit)
@@ -244,7 +271,7 @@ class Segmenter:
             for u in self.split(words[k]):
                 packed, _, second = self.known[u]
                 if second < float("inf"):
-                    slots.append((at, len(packed) // 4, self.search(u, self.n)))
+                    slots.append((at, len(packed) // 4, self.best_of[u]))
                 at += len(packed) // 4
         # The same search over choices: a state is a rank for each slot, its successors lower one rank.
         queue, seen, out = [(0.0, (0,) * len(slots))], set(), []
@@ -293,6 +320,7 @@ def apply_spans(ids, spans) -> list[int]:
     return out
 
 
+_AT = re.Match.start
 _SEGMENTERS: dict[tuple[int, int], Segmenter] = {}
 
 
