@@ -83,8 +83,11 @@ ENTRIES["anom_structuring_evidence"] = Entry(
 
 # Assets ----------------------------------------------------------------------
 
-_ASSET = """SELECT e.borrower, concat('asset:', f, ':', plate) AS id, f AS rule, CASE f WHEN 'not_checked' THEN 0.9 WHEN 'check_failed' THEN 0.7 ELSE 0.85 END AS severity FROM (
- SELECT e.*, CASE WHEN r.plate IS NULL THEN 'not_checked' WHEN lower(trim(status)) LIKE 'error%' OR (trim(owner) = '' AND lower(trim(status)) IN ('no data', '')) THEN 'check_failed'
+_ASSET = """SELECT e.borrower, concat('asset:', f, ':', plate) AS id, f AS rule, CASE f WHEN 'not_checked' THEN 0.9 WHEN 'check_failed' THEN 0.7 ELSE 0.85 END AS severity,
+ CASE f WHEN 'not_checked' THEN concat('Asset ', plate, ' (', CASE WHEN borrower = '' THEN 'unknown borrower' ELSE borrower END, ') has no registry check on file')
+  WHEN 'check_failed' THEN concat('Registry check for asset ', plate, ' returned no usable record (status: ''', CASE WHEN r_status = '' THEN 'no data' ELSE r_status END, ''')')
+  ELSE concat('Asset ', plate, ': registry owner ''', r_owner, ''' does not match the expected owner ''', trim(expected_owner), '''') END AS description FROM (
+ SELECT e.*, trim(r.status) AS r_status, trim(r.owner) AS r_owner, CASE WHEN r.plate IS NULL THEN 'not_checked' WHEN lower(trim(status)) LIKE 'error%' OR (trim(owner) = '' AND lower(trim(status)) IN ('no data', '')) THEN 'check_failed'
    WHEN expected_owner <> '' AND owner <> '' AND regexp_replace(lower(trim(expected_owner)), '\\s+', ' ', 'g') <> regexp_replace(lower(trim(owner)), '\\s+', ' ', 'g') THEN 'owner_mismatch' END AS f
  FROM assets_expected e LEFT JOIN registry_results r ON e.plate = r.plate) e WHERE f IS NOT NULL"""
 
@@ -93,7 +96,7 @@ def _asset_findings(s: SparkSession, d: str) -> DataFrame:
     return assets.verify(view(s, d, "assets_expected"), view(s, d, "registry_results"))
 
 
-ENTRIES["asset_existence"] = Entry(lambda s, d: _asset_findings(s, d).select("borrower", "id", "rule", "severity"), sql(_ASSET))
+ENTRIES["asset_existence"] = Entry(lambda s, d: _asset_findings(s, d).select("borrower", "id", "rule", "severity", "description"), sql(_ASSET))
 ENTRIES["asset_evidence"] = Entry(
     lambda s, d: assets.evidence(_asset_findings(s, d)).select("exception_id", "evidence_key"),
     sql(f"""SELECT id AS exception_id, concat('expected:', split_part(id, ':', 3)) AS evidence_key FROM ({_ASSET}) a WHERE rule <> 'check_failed'
@@ -136,7 +139,8 @@ ENTRIES["asset_sheet"] = Entry(
 @lru_cache(maxsize=4)
 def _run(app: str, s: SparkSession, d: str, state: tuple) -> verification.Verification:
     return verification.verify(
-        verification.Inputs(tape=view(s, d, "loan_tape"), bank=bank(s, d), ledger=ledger(s, d), rates=rates(s, d), balances=balances(s, d)), LIMITS, COLUMNS
+        verification.Inputs(tape=view(s, d, "loan_tape"), bank=bank(s, d), ledger=ledger(s, d), rates=rates(s, d), balances=balances(s, d),
+                            register=view(s, d, "assets_expected"), registry=view(s, d, "registry_results")), LIMITS, COLUMNS
     )
 
 
@@ -155,7 +159,7 @@ def run(s: SparkSession, d: str) -> verification.Verification:
 
 
 _ANOM = " UNION ALL ".join(f"SELECT borrower, id, rule, 'anomaly' AS kind, severity, description FROM ({q}) r" for q in SQL.values())
-FOUND = f"{_ANOM} UNION ALL SELECT borrower, id, rule, 'reconciliation', severity, description FROM ({breaches('pairs')}) b"
+FOUND = f"{_ANOM} UNION ALL SELECT borrower, id, rule, 'reconciliation', severity, description FROM ({breaches('pairs')}) b UNION ALL SELECT borrower, id, rule, 'asset', severity, description FROM ({_ASSET}) a"
 RANKED = """SELECT borrower, id, rule, kind, s AS severity, severity AS severity_raw, concat(description, ' [severity=', format('{:.2f}', s), ']') AS description FROM (
  SELECT *, round(CASE WHEN hi = lo THEN 0 ELSE (severity - lo) / (hi - lo) END, 4) AS s FROM (SELECT *, min(severity) OVER (PARTITION BY borrower) AS lo, max(severity) OVER (PARTITION BY borrower) AS hi FROM found) f) g"""
 _STEPS = {"rx": RX, "med": MED, "pairs": PAIRS, "found": FOUND, "ranked": RANKED}

@@ -12,14 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.config import TapeColumns, Thresholds
-from tallyweave.operators import aggregate, fx, normalize, rank, reconcile, rules
+from tallyweave.operators import aggregate, assets, fx, normalize, rank, reconcile, rules
 from tallyweave.operators.rules import Findings
 from tallyweave.session import settle
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """What a run starts from. ``balances``: borrower, account_ref, closing_balance, currency."""
+    """What a run starts from. ``balances``: borrower, account_ref, closing_balance, currency.
+    ``register`` and ``registry``: pledged assets and what a registry says of them, one row per plate."""
 
     tape: DataFrame
     bank: DataFrame
@@ -27,6 +28,8 @@ class Inputs:
     ledger: DataFrame | None = None
     mobile: DataFrame | None = None
     balances: DataFrame | None = None
+    register: DataFrame | None = None
+    registry: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,7 @@ class Verification:
     exceptions: DataFrame
     evidence: DataFrame
     spot_checks: DataFrame
+    asset_coverage: DataFrame | None = None
 
 
 def transactions(inputs: Inputs, columns: TapeColumns, periods: Sequence[str] = (), base: str = "USD") -> DataFrame:
@@ -81,7 +85,7 @@ def verify(
     inputs: Inputs, limits: Thresholds | None = None, columns: TapeColumns | None = None, *,
     periods: Sequence[str] = (), base: str = "USD",
 ) -> Verification:
-    """Normalise, convert, aggregate, reconcile, look for anomalies and rank."""
+    """Normalise, convert, aggregate, reconcile, look for anomalies, check assets and rank all findings together."""
     limits, columns = limits or Thresholds(), columns or TapeColumns()
     # Totals and seven rules scan the rows, so they are written once.
     rows = settle(transactions(inputs, columns, periods, base))
@@ -93,9 +97,14 @@ def verify(
     ready = reconcile.readiness(counts)
     breaches = reconcile.only_ready(reconcile.reconcile(pairs, limits), ready)
     found: Findings = rules.detect(rows, limits, settled=True)
-    exceptions = rank.rank(settle(breaches.unionByName(found.exceptions)))
+    unranked, evidence, covered = breaches.unionByName(found.exceptions), found.evidence, None
+    if inputs.register is not None and inputs.registry is not None:
+        missing = assets.verify(inputs.register, inputs.registry)
+        unranked, evidence = unranked.unionByName(missing), evidence.unionByName(assets.evidence(missing))
+        covered = assets.checked_coverage(inputs.register, inputs.registry)
+    exceptions = rank.rank(settle(unranked))
     spot = normalize.flag_spot_checks(rows.filter(F.col("sheet") == "bank"), limits.pdf_confidence_floor)
     return Verification(
-        rows, reported, calculated, reconcile.gateway_fee(pairs, limits), ready, exceptions, found.evidence,
-        spot.filter("needs_spot_check").select("borrower", "key", "account_ref", "description", "confidence"),
+        rows, reported, calculated, reconcile.gateway_fee(pairs, limits), ready, exceptions, evidence,
+        spot.filter("needs_spot_check").select("borrower", "key", "account_ref", "description", "confidence"), covered,
     )
