@@ -15,7 +15,6 @@ chosen anew in every epoch.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,21 +56,44 @@ def normal(token: bytes) -> str:
     return _INNER.sub("", token.decode("utf-8", "replace").lower())
 
 
-def grams(word: str, buckets: int) -> list[int]:
-    """Hashed character n-grams of three to five, with the word's ends marked."""
-    w = f"^{word[:40]}$"
-    return sorted({zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % buckets for n in (3, 4, 5) for i in range(len(w) - n + 1)})
+def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of three to five, with each word's ends marked: all words' buckets
+    one after the other, and how many each word has."""
+    marked = [f"^{w[:40]}$" if w else "" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # characters to the word's end
+    ids, owners = [], []
+    with np.errstate(over="ignore"):
+        h = codes * np.uint64(0x9E3779B97F4A7C15)
+        for n in range(2, 6):
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + codes[n - 1 :] if len(h) else h
+            if n > 2:
+                ok = left[: len(h)] >= n
+                mixed = h[ok] ^ (h[ok] >> np.uint64(29))
+                ids.append(((mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)).astype(np.int64) % buckets)
+                owners.append(owner[: len(h)][ok])
+    at = np.concatenate(owners)
+    return np.concatenate(ids)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(words))
+
+
+def pick(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` and ``sizes`` of some rows only."""
+    n = sizes[rows]
+    first = (np.cumsum(sizes) - sizes)[rows]
+    return flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class Inputs(dict):
-    """Tokens of a text as rows of a table of known words: word row and n-gram rows, made when first met."""
+    """Tokens of a text as rows of a table of known words, made when first met: the word's own row, and its form."""
 
-    def __init__(self, vocabulary: dict[str, int], buckets: int):
+    def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary, self.buckets = vocabulary, buckets
+        self.vocabulary = vocabulary
         self.rows: dict[str, int] = {}
         self.words: list[int] = [0]
-        self.grams: list[list[int]] = [[]]
+        self.forms: list[str] = [""]
 
     def __missing__(self, token: bytes) -> int:
         w = normal(token)
@@ -79,7 +101,7 @@ class Inputs(dict):
         if row is None:
             row = self.rows[w] = len(self.words)
             self.words.append(self.vocabulary.get(w, 0))
-            self.grams.append(grams(w, self.buckets) if w else [])
+            self.forms.append(w)
         self[token] = row
         return row
 
@@ -110,15 +132,13 @@ class Model:
     settings: Settings
 
 
-def embed(p: dict[str, np.ndarray], words: np.ndarray, gram_lists: list[list[int]]) -> np.ndarray:
+def embed(p: dict[str, np.ndarray], words: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Input vectors of rows: the word's, and the mean of its n-grams'."""
-    sizes = np.array([len(g) for g in gram_lists])
-    flat = np.fromiter((x for g in gram_lists for x in g), dtype=np.int64, count=int(sizes.sum()))
     chars = np.zeros((len(words), p["chars"].shape[1]), dtype=np.float32)
-    if len(flat):
-        owner = np.repeat(np.arange(len(words)), sizes)
-        np.add.at(chars, owner, p["chars"][flat])
-    return np.concatenate([p["words"][words], chars / np.maximum(sizes, 1)[:, None]], axis=1).astype(np.float32)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        chars[some] = np.add.reduceat(p["chars"][flat], (np.cumsum(sizes) - sizes)[some], axis=0) / sizes[some, None]
+    return np.concatenate([p["words"][words], chars], axis=1).astype(np.float32)
 
 
 def recur(gates: np.ndarray, filled: np.ndarray, u: np.ndarray, c: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -218,9 +238,12 @@ def _start(s: Settings, texts: list[set[str]], y: np.ndarray) -> tuple[dict[str,
     rng = np.random.default_rng(s.seed)
     counts = [Counter(), Counter()]
     parts = [Counter(), Counter()]
+    known = sorted(set().union(*texts))
+    number, (flat, sizes) = {w: k for k, w in enumerate(known)}, grams(known, s.buckets)
     for words, label in zip(texts, y.astype(int)):
         counts[label].update(words)
-        parts[label].update({b for w in words for b in grams(w, s.buckets)})
+        own = np.fromiter((number[w] for w in words), dtype=np.int64, count=len(words))
+        parts[label].update(np.unique(pick(flat, sizes, own)[0]).tolist())
     size = [max(1, int((y == k).sum())) for k in (0, 1)]
 
     def odds(c, key):
@@ -241,9 +264,8 @@ def _start(s: Settings, texts: list[set[str]], y: np.ndarray) -> tuple[dict[str,
     p["words"][0] = 0
     for w, k in vocabulary.items():
         p["words"][k, 0] = 0.5 * odds(counts, w)
-    known = parts[0].keys() | parts[1].keys()
     p["chars"][:, 0] = 0
-    for b in sorted(known):
+    for b in sorted(parts[0].keys() | parts[1].keys()):
         if parts[0][b] + parts[1][b] >= s.min_count:
             p["chars"][b, 0] = 0.5 * odds(parts, b)
     return p, vocabulary
@@ -262,12 +284,10 @@ def train(sample: Sample, s: Settings = Settings()) -> Model:
         held[np.flatnonzero(y == label)[:: s.calibrate_every]] = True
     learn = np.flatnonzero(~held)
     p, vocabulary = _start(s, [{normal(w) for w in words_of(rows[k][0])} for k in learn], y[learn])
-    inputs = Inputs(vocabulary, s.buckets)
+    inputs = Inputs(vocabulary)
     texts = [inputs.read(t) for t, _ in rows]
     words = np.array(inputs.words)
-    sizes = np.array([len(g) for g in inputs.grams])
-    flat = np.array([x for g in inputs.grams for x in g], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)])
+    flat, sizes = grams(inputs.forms, s.buckets)
     cuts = [cut_windows(r, windows(len(r), s), s) for r in texts]
     owner = np.repeat(np.arange(len(rows)), [len(c[0]) for c in cuts])
     all_rows, all_filled = (np.concatenate([c[k] for c in cuts]) for k in (0, 1))
@@ -280,7 +300,7 @@ def train(sample: Sample, s: Settings = Settings()) -> Model:
         return np.concatenate([logits(p, table, all_rows[i : i + 2048], all_filled[i : i + 2048]) for i in range(0, len(all_rows), 2048)])
 
     for epoch in range(s.epochs):
-        x = embed(p, words, inputs.grams)
+        x = embed(p, words, flat, sizes)
         # Before the network knows anything, its inputs' first places tell the windows apart.
         hint = np.maximum(x[:, 0], 0) + np.maximum(x[:, s.word_dim], 0)
         scores = window_scores(x) if epoch else np.where(all_filled, hint[all_rows], 0).max(axis=1)
@@ -299,7 +319,8 @@ def train(sample: Sample, s: Settings = Settings()) -> Model:
             used, local = np.unique(all_rows[k], return_inverse=True)
             # Every other word is taken as unknown, so that its parts must say what it means.
             seen = np.where(rng.random(len(used)) < s.forget, 0, words[used])
-            x = embed(p, seen, [inputs.grams[r] for r in used])
+            ids, many = pick(flat, sizes, used)
+            x = embed(p, seen, ids, many)
             label = y[owner[k]]
             _, g, dx = gradients(p, x, local.reshape(all_rows[k].shape), all_filled[k], label, np.where(label == 1, 1.5, 1.0))
             flatdx = np.zeros((len(used), x.shape[1]), dtype=np.float32)
@@ -307,16 +328,15 @@ def train(sample: Sample, s: Settings = Settings()) -> Model:
             g["words"], g["chars"] = np.zeros_like(p["words"]), np.zeros_like(p["chars"])
             np.add.at(g["words"], seen, flatdx[:, : s.word_dim])
             g["words"][0] = 0
-            mine = np.repeat(np.arange(len(used)), sizes[used])
-            ids = np.concatenate([flat[first[r] : first[r + 1]] for r in used]) if len(used) else flat[:0]
-            np.add.at(g["chars"], ids, (flatdx[:, s.word_dim :] / np.maximum(sizes[used], 1)[:, None])[mine])
+            mine = np.repeat(np.arange(len(used)), many)
+            np.add.at(g["chars"], ids, (flatdx[:, s.word_dim :] / np.maximum(many, 1)[:, None])[mine])
             step += 1
             for name, grad in g.items():
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 p[name] -= s.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    scores = window_scores(embed(p, words, inputs.grams))
+    scores = window_scores(embed(p, words, flat, sizes))
     worst = np.full(len(rows), -np.inf)
     np.maximum.at(worst, owner, scores)
     label = y[held]
@@ -336,8 +356,8 @@ class Scorer:
     def _gates(self) -> np.ndarray:
         new = slice(len(self.table), len(self.inputs.words))
         if new.stop > new.start:
-            x = embed(self.model.p, np.array(self.inputs.words[new]), self.inputs.grams[new])
-            self.inputs.grams[new] = [[]] * (new.stop - new.start)
+            x = embed(self.model.p, np.array(self.inputs.words[new]), *grams(self.inputs.forms[new], self.model.settings.buckets))
+            self.inputs.forms[new] = [""] * (new.stop - new.start)
             self.table = np.concatenate([self.table, gate_table(self.model.p, x)])
         return self.table
 
@@ -356,7 +376,7 @@ class Scorer:
         s, held, n = self.model.settings, [], 0
         for k, t in enumerate(texts):
             if not held and (self.inputs is None or len(self.inputs) > self.MOST):
-                self.inputs = Inputs(self.model.vocabulary, s.buckets)
+                self.inputs = Inputs(self.model.vocabulary)
                 self.table = np.empty((0, 2, 3 * s.hidden), dtype=np.float32)
             read = self.inputs.read(t)
             starts = windows(len(read), s)
