@@ -122,14 +122,15 @@ def calibrate(cells: DataFrame, keep_share: float) -> DataFrame:
 
 
 def mix_documents(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", mix: Mix = Mix(), topics=TOPICS
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", mix: Mix = Mix(), topics=TOPICS,
+    into: str = "mix",
 ) -> DataFrame:
-    """``docs`` with ``mix``: a struct of topic, n_tokens, weight, probability and sampled.
+    """``docs`` with ``into``: a struct of topic, n_tokens, weight, probability and sampled.
 
     Weights and probabilities have six decimals. Null sources and languages are
     values of their own. Texts without words (null, empty, blank) carry no
     tokens: their weight and probability are 0. Rows with equal ids share one
-    draw. A column named ``mix`` is replaced.
+    draw. A column named ``into`` is replaced.
     """
     t = F.col(f"`{text}`")
     tokens = F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long")
@@ -151,12 +152,13 @@ def mix_documents(
         F.col("__k2").alias("topic"), F.col("__n").alias("n_tokens"), w.alias("weight"), p.alias("probability"),
         (draw(F.col(f"`{doc_id}`"), mix.seed) < p).alias("sampled"),
     )
-    return joined.withColumn("mix", result).drop("__k0", "__k1", "__k2", "__n", "__cell", "__w", "__p")
+    return joined.withColumn(into, result).drop("__k0", "__k1", "__k2", "__n", "__cell", "__w", "__p")
 
 
 def sample(docs: DataFrame, *, mix: Mix = Mix(), **columns: str) -> DataFrame:
-    """The sampled rows with their own columns (one named ``mix`` is lost)."""
-    return mix_documents(docs, mix=mix, **columns).filter(F.col("mix")["sampled"]).drop("mix")
+    """The sampled rows with their own columns."""
+    mark = "__mix"
+    return mix_documents(docs, mix=mix, into=mark, **columns).filter(F.col(mark)["sampled"]).drop(mark)
 
 
 def oracle(mix: Mix = Mix(), topics=TOPICS, documents: str = "documents") -> str:
