@@ -31,7 +31,8 @@ CELL = ["list", "part", "block"]
 @dataclass(frozen=True)
 class Settings:
     """``sample`` rows fit the index, ``max_lists`` bounds it. ``recall`` is what probing must reach on the sample.
-    ``bound_rows`` of it give each query its first bound.
+    ``bound_rows`` of it give each query its first bound; one probe in ``head``
+    goes first and gives a closer one.
 
     ``epsilon``: how sure a test must be; a candidate goes if its scaled partial
     distance exceeds the bound (1 + epsilon / sqrt(columns)) times.
@@ -43,6 +44,7 @@ class Settings:
     recall: float = 0.96
     bound_rows: int = 1024
     trial_queries: int = 256
+    head: int = 8
     columns: int = 16
     epsilon: float = 2.1
     part: int = 4096
@@ -215,22 +217,27 @@ def search(
         return pd.DataFrame(rows, columns=["lists", "bound", "ids", "scores"])
 
     own = settle(placed.filter(asks).select("id", "v", probes("id", "v").alias("p")))
-    asked = own.select("id", "v", F.explode("p.lists").alias("list"), "p.bound")
+    asked = own.select("id", "v", F.posexplode("p.lists").alias("near", "list"), "p.bound")
     known = own.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("p.ids", "p.scores")).alias("z")).select("query_id", F.col("z.ids").alias("vec_id"), F.col("z.scores").alias("score"))
-    load = {r.list: r["count"] for r in asked.groupBy("list").count().collect()}
-    shape = spark.createDataFrame(
-        [(k, -(-int(n) // s.part), -(-load.get(k, 0) // s.part)) for k, n in enumerate(sizes) if n and load.get(k, 0)], "list int, parts int, blocks int"
-    )
-    lists = F.broadcast(shape)
-    # Rows of a list are dealt to parts, its queries to blocks; a cell is one part with one block.
-    left = placed.join(lists, "list").select(
-        "list", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("double").alias("bound"),
-    )
-    right = asked.join(lists, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
-        F.lit(True).alias("asks"), "id", "v", "bound",
-    )
+
+    def scanned(asked: DataFrame) -> DataFrame:
+        """Up to ``k`` rows for each query and cell."""
+        load = {r.list: r["count"] for r in asked.groupBy("list").count().collect()}
+        shape = spark.createDataFrame(
+            [(k, -(-int(n) // s.part), -(-load.get(k, 0) // s.part)) for k, n in enumerate(sizes) if n and load.get(k, 0)], "list int, parts int, blocks int"
+        )
+        lists = F.broadcast(shape)
+        # Rows of a list are dealt to parts, its queries to blocks; a cell is one part with one block.
+        left = placed.join(lists, "list").select(
+            "list", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("double").alias("bound"),
+        )
+        right = asked.join(lists, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
+            F.lit(True).alias("asks"), "id", "v", "bound",
+        )
+        cells = left.unionByName(right).repartition(*CELL).sortWithinPartitions(*CELL)
+        return cells.mapInPandas(run, "query_id long, vec_id long, score double")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_groups(frames, CELL):
@@ -241,8 +248,16 @@ def search(
                     out += scan(np.stack(q["v"]), q["id"].to_numpy(), q["bound"].to_numpy(), np.stack(x["v"]), x["id"].to_numpy(), shared.value, s)
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    cells = left.unionByName(right).repartition(*CELL).sortWithinPartitions(*CELL)
-    found = cells.mapInPandas(run, "query_id long, vec_id long, score double").unionByName(known)
+    # The nearest lists go first: the k-th best of what they hold bounds what the others may add.
+    head = max(1, index.probe // s.head)
+    early = settle(scanned(asked.filter(F.col("near") < head)).unionByName(known))
+    one = early.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kth = one.withColumn("at", at).filter(F.col("at") == s.k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    tight = F.greatest(length + F.lit(norm**2) - 2 * F.col("kth"), F.lit(0.0))
+    later = asked.filter(F.col("near") >= head).join(kth, "id", "left").withColumn("bound", F.least("bound", F.coalesce(tight, F.col("bound")))).drop("kth")
+    found = early.unionByName(scanned(settle(later)))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
