@@ -68,6 +68,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None
     return w
 
 
+def lowest(rows: DataFrame, hash64: Column, limit: int, total: int) -> DataFrame:
+    """Rows that can be among the ``limit`` with the lowest ``hash64``, a long that is spread evenly.
+
+    Of ``total`` rows some four times the limit pass, so that sorting them asks
+    little of one task however many tasks there are. Repetitions of one hash pass together.
+    """
+    share = (4 * limit + 1000) / max(total, 1)
+    return rows if share >= 1 else rows.filter(hash64 <= F.lit(int(-(2**63) + share * 2**64)))
+
+
 @dataclass(frozen=True)
 class Sample:
     """Labelled texts, and how many rows of either label they stand for."""
@@ -87,8 +97,8 @@ class Sample:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, max_chars: int) -> Sample:
     """At most ``per_class`` training texts of either label, the same ones on each run.
 
-    ``fold`` is true for the rows that may be learned from. Rows are taken by the
-    md5 of their id, so the choice has nothing to do with the order of the files;
+    ``fold`` is true for the rows that may be learned from. Rows are taken by a
+    hash of their id, so the choice has nothing to do with the order of the files;
     ids with contradicting labels are left out. The sample is what the driver
     holds: at most ``2 * per_class`` ids and ``4 * per_class`` rows, of a window
     of ``max_chars`` characters each, at a place that depends on the id.
@@ -98,7 +108,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     counts = {r.y: r["count"] for r in l.groupBy("y").count().collect()}
     picked = None
     for y in (0, 1):
-        one = l.filter(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_class)
+        h = F.xxhash64(F.col("doc_id").cast("string"))
+        one = lowest(l.filter(F.col("y") == y), h, per_class, counts.get(y, 0)).orderBy(h, "doc_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
     room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
     start = F.pmod(F.xxhash64("doc_id"), room.cast("long")).cast("int") + 1
@@ -106,7 +117,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     rows = (
         docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
         .select("doc_id", F.substring(F.col("text"), start, F.lit(max_chars)).alias("text"), "y")
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text").limit(4 * per_class).collect()
+        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").limit(4 * per_class).collect()
     )
     return Sample(tuple((r.text, int(r.y)) for r in rows), (counts.get(0, 0), counts.get(1, 0)))
 

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyweave.llm.common import whole_groups
+from tallyweave.llm.common import lowest, whole_groups
 from tallyweave.session import settle
 
 CELL = ["list", "part", "block"]
@@ -193,8 +193,9 @@ def search(
         return spark.createDataFrame([], schema)
     base = settle(base.filter(F.size("v") == dims.n).groupBy("id").agg(F.min("v").alias("v")))
     norm = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
-    taken = base.orderBy(F.xxhash64("id"), "id").limit(s.sample).collect()
-    index = fit_index(np.array([r.id for r in taken]), np.array([r.v for r in taken]), base.count(), norm, s)
+    rows_in_all = base.count()
+    taken = lowest(base, F.xxhash64("id"), s.sample, rows_in_all).orderBy(F.xxhash64("id"), "id").limit(s.sample).collect()
+    index = fit_index(np.array([r.id for r in taken]), np.array([r.v for r in taken]), rows_in_all, norm, s)
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("int")
