@@ -5,7 +5,9 @@ and the like, access key ids, and long hexadecimal runs. The method adds weak
 candidates: opaque tokens that say nothing by themselves. They are joined over
 intervals with what would make them a credential, an access identifier or an
 endpoint in the same scope and within ``reach``; only those with such a partner
-are reported. Scopes end at blank lines.
+are reported. Scopes end at blank lines. The user info and the query values of an
+endpoint are candidates too, and the endpoint around them is their partner; the
+rest of an endpoint, its path among it, and the value of an identifier are none.
 
 The parts of a credential stand in one text, so the join runs inside the row,
 over arrays ordered by place: nothing is shuffled, and no key can be hot.
@@ -20,8 +22,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-IDENTIFIER = r"""((?i:client_?id|user_?name|user|login|account(?:_?id)?|access_?key(?:_?id)?|tenant(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
+# Names begin a word, also behind a dash, an underscore or as a hump (dbUser); a secret access key is no identifier.
+IDENTIFIER = r"""(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?<!(?i:secret|shared)[_-]?)((?i:client_?id|user_?name|user|login|account(?:_?id)?|access_?key(?:_?id)?|tenant(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
 ENDPOINT = r"(?i:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqp|mongodb|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
+SECRET = r"""(?i:secret[_-]?access[_-]?key|(?:secret|private|account|shared(?:[_-]?access)?|signing|encryption|auth)[_-]?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{20,}+)"""
+_SCHEME, _USER = r"(?i:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqp|mongodb|s3)://", "[A-Za-z0-9._~!$&*+,;=%-]"
+USER = rf"{_SCHEME}({_USER}{{20,}}+)(?=(?::{_USER}*+)?@)"
+PASSWORD = rf"{_SCHEME}{_USER}*+:({_USER}{{20,}}+)(?=@)"
+QUERY = r"[?&;#][A-Za-z0-9_.~%-]*+=([A-Za-z0-9+/_=.~%-]{19,}[A-Za-z0-9+/_=~%-])"
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 SCOPE_END = r"\n[\x20\t]*\n"
 
@@ -31,10 +39,10 @@ SPANS = "array<struct<start: int, kind: int, end: int>>"
 
 @dataclass(frozen=True)
 class Linking:
-    """``reach``: most characters between a weak candidate and its partner. ``variety``: least number
-    of different characters of an opaque token, which also needs a digit and a letter."""
+    """``reach``: most characters between a weak candidate and its partner; None: the whole scope. ``variety``:
+    least number of different characters of an opaque token, which also needs a digit and a letter."""
 
-    reach: int = 400
+    reach: int | None = 400
     variety: int = 10
 
 
@@ -42,9 +50,10 @@ def _none() -> Column:
     return F.array().cast(SPANS)
 
 
-def spans(text: Column, pattern: str, kind: int, ok=None, group: int = 0) -> Column:
+def spans(text: Column, pattern: str, kind: int, ok=None, group: int = 0, tail: bool = False) -> Column:
     """Leftmost non-overlapping matches as ``SPANS``, in code points; ``ok`` takes the match's ``group``.
 
+    ``tail``: the group ends the match, and the span is the group's alone.
     The pieces between the matches tell where they are, so no position function is needed.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -56,7 +65,8 @@ def spans(text: Column, pattern: str, kind: int, ok=None, group: int = 0) -> Col
     def add(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        first = end - F.length(x["value"]) if tail else begin
+        span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
         more = F.concat(acc["out"], F.array(span))
         return F.struct(end.alias("at"), (F.when(ok(x["value"]), more).otherwise(acc["out"]) if ok else more).alias("out"))
 
@@ -78,12 +88,12 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "secrets", linking:
     """``docs`` with a struct ``into``: base, weak and linked spans, and who is linked to what.
 
     ``base``: assign, access and hex spans by (start, kind). ``weak``: opaque
-    tokens, apart from base spans, that have a partner. ``parts``: identifiers
-    and endpoints, as (start, end). ``linked``: base spans with a partner. A null
+    tokens, apart from base spans, that have a partner; of a secret field or a part
+    of an endpoint only the value. ``parts``: identifiers and endpoints, as (start, end). ``linked``: base spans with a partner. A null
     text counts as empty; rows depend on their own text alone; a column of the
     name ``into`` is replaced.
     """
-    own = ["__t", "__base", "__ident", "__end", "__bound", "__weak", "__partner"]
+    own = ["__t", "__base", "__ident", "__end", "__bound", "__inline", "__field", "__weak", "__partner"]
     t = F.col("__t")
     base = F.array_sort(F.concat(
         spans(t, ASSIGN, 0, lambda v: F.length(v) >= 8, 2), spans(t, ACCESS, 1), spans(t, HEX, 2),
@@ -94,24 +104,36 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "secrets", linking:
     out = out.withColumn("__partner", partner)
     some = F.size("__partner") > 0
     varied = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= linking.variety)
+    meeting = lambda s, *of: F.exists(F.concat(*of), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    inside = lambda s: F.exists("__end", lambda e: (e["start"] < s["start"]) & (s["end"] <= e["end"]))
     out = out.withColumns({
+        "__inline": F.when(F.size("__end") > 0, F.concat(
+            spans(t, USER, 3, varied, 1, True), spans(t, PASSWORD, 3, varied, 1, True),
+            F.filter(spans(t, QUERY, 3, varied, 1, True), lambda s: inside(s) & ~meeting(s, "__ident")),
+        )).otherwise(_none()),
+        "__field": F.when(some, spans(t, SECRET, 3, varied, 1, True)).otherwise(_none()),
         "__weak": F.when(some, spans(t, OPAQUE, 3, varied)).otherwise(_none()),
         "__bound": F.when(some, spans(t, SCOPE_END, 9)).otherwise(_none()),
     })
 
     def joined(s: Column) -> Column:
-        """True if a partner is in reach and no scope ends between."""
+        """True if an endpoint is around it, or a partner in reach and no scope ends between."""
 
         def meets(p: Column) -> Column:
             low, high = F.least(s["end"], p["end"]), F.greatest(s["start"], p["start"])
-            return (high - low <= linking.reach) & ~F.exists("__bound", lambda b: (b["start"] >= low) & (b["end"] <= high))
+            near = F.lit(True) if linking.reach is None else high - low <= linking.reach
+            return near & ~F.exists("__bound", lambda b: (b["start"] >= low) & (b["end"] <= high))
 
         apart = lambda p: (p["end"] <= s["start"]) | (s["end"] <= p["start"])
-        return F.exists("__partner", lambda p: apart(p) & meets(p))
+        return inside(s) | F.exists("__partner", lambda p: apart(p) & meets(p))
 
-    free = lambda s: ~F.exists(F.concat("__base", "__ident", "__end"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    weak = F.array_sort(F.concat(
+        F.filter("__inline", lambda s: ~meeting(s, "__base")),
+        F.filter("__field", lambda s: ~meeting(s, "__base", "__ident", "__inline", "__end") & joined(s)),
+        F.filter("__weak", lambda s: ~meeting(s, "__base", "__ident", "__end", "__field") & joined(s)),
+    ))
     result = F.struct(
-        F.col("__base").alias("base"), F.filter("__weak", lambda s: free(s) & joined(s)).alias("weak"),
+        F.col("__base").alias("base"), weak.alias("weak"),
         F.transform("__partner", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("parts"),
         F.filter("__base", lambda s: (s["kind"] != 1) & joined(s)).alias("linked"),
     )
