@@ -1,7 +1,9 @@
 """Toxicity with a bidirectional gated recurrent network and attention pooling.
 
 A word enters as its own vector and as the mean of the vectors of its character
-n-grams, so inflected and unseen forms keep what their parts say. Two gated
+n-grams, so inflected and unseen forms keep what their parts say; one of over 40
+characters, such as a sentence in a script without spaces, enters as overlapping
+pieces, each a word. Two gated
 recurrent networks read a window in both directions, attention pools their
 states, and a logistic unit gives the window's score. Every document is cut into
 overlapping windows that cover all its words; its score is that of its worst
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyweave.llm.common import Sample, as_text, fit_logistic, labelled_sample, sigmoid, words_of
 
 _INNER = re.compile(r"[\W_]+")
+# Longer tokens are cut into pieces: short ones, as a word's n-grams are averaged, and such that the longest n-gram, of five, lies whole in one.
+LONGEST, PIECE, OVERLAP = 40, 16, 4
 
 
 @dataclass(frozen=True)
@@ -56,10 +60,25 @@ def normal(token: bytes) -> str:
     return _INNER.sub("", token.decode("utf-8", "replace").lower())
 
 
+def tokens_of(text: str | None) -> list[bytes]:
+    """The words of ``text``; those of over ``LONGEST`` letters and digits in overlapping pieces, so that none is cut short."""
+    words = words_of(text)
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[bytes] = []
+    for word in words:
+        w = normal(word) if len(word) > LONGEST else ""
+        if len(w) > LONGEST:
+            out += [w[i : i + PIECE].encode("utf-8", "surrogatepass") for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+        else:
+            out.append(word)
+    return out
+
+
 def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of three to five, with each word's ends marked: all words' buckets
     one after the other, and how many each word has."""
-    marked = [f"^{w[:40]}$" if w else "" for w in words]
+    marked = [f"^{w}$" if w else "" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     owner = np.repeat(np.arange(len(words)), size)
@@ -106,7 +125,7 @@ class Inputs(dict):
         return row
 
     def read(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
+        words = tokens_of(text)
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
@@ -283,7 +302,7 @@ def train(sample: Sample, s: Settings = Settings()) -> Model:
     for label in (0, 1):
         held[np.flatnonzero(y == label)[:: s.calibrate_every]] = True
     learn = np.flatnonzero(~held)
-    p, vocabulary = _start(s, [{normal(w) for w in words_of(rows[k][0])} for k in learn], y[learn])
+    p, vocabulary = _start(s, [{normal(w) for w in tokens_of(rows[k][0])} for k in learn], y[learn])
     inputs = Inputs(vocabulary)
     texts = [inputs.read(t) for t, _ in rows]
     words = np.array(inputs.words)

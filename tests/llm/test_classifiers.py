@@ -116,3 +116,29 @@ def test_toxic_words_are_found_anywhere_in_long_texts():
     assert (bad > 0.5).mean() > 0.8 and (good < 0.5).mean() > 0.8
     same = text(300, 1)
     assert scorer.score([same])[0] == tx.Scorer(model).score(["x", same])[1]
+
+
+def test_toxic_parts_after_the_40th_character_of_a_token_count():
+    assert tx.tokens_of("a bc") == [b"a", b"bc"] and tx.tokens_of(None) == [] and tx.tokens_of("-" * 90) == [b"-" * 90]
+    rng = random.Random(8)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    for n in (41, 44, 45, 52, 53, 500):
+        word = "".join(rng.choices(signs, k=n))
+        pieces = [p.decode() for p in tx.tokens_of(f"x {word}")[1:]]
+        assert max(map(len, pieces)) <= tx.PIECE
+        assert {word[i : i + 5] for i in range(n - 4)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+    clean = ["".join(rng.choices("bcdfglmnprstaeiou", k=rng.randint(2, 8))) for _ in range(800)]
+    rude = ["scumling", "trashopath", "morvid"]
+    sample = []
+    for y in (0, 1):
+        for _ in range(150):
+            w = rng.choices(clean, k=rng.randint(20, 200))
+            for _ in range(2 * y):
+                w.insert(rng.randrange(len(w)), rng.choice(rude))
+            sample.append((" ".join(w), y))
+    scorer = tx.Scorer(tx.train(Sample(tuple(sample), (150, 150))))
+    # Words chained by dashes are one token; they differ only after its first forty characters.
+    start = ["-".join(rng.choices(clean, k=30)) for _ in range(30)]
+    assert all(len(tx.normal(w.encode())) > 40 for w in start)
+    bad, good = scorer.score([f"{w}-{'-'.join(rude)}" for w in start]), scorer.score([f"{w}-{'-'.join(rng.choices(clean, k=3))}" for w in start])
+    assert (bad > good).mean() > 0.8
