@@ -5,17 +5,21 @@ then by its leading tokens, a token with a digit counting as variable. In a leaf
 the further tokens are generalised: a token that enough lines of the leaf have in
 that place stays, any other becomes ``<*>``. A line whose constant part is too
 small keeps its own text as template. Templates found in ``min_texts`` different
-texts or more are dropped, save where they come first.
+texts or more are dropped, save where they come first. The longer a line, the less
+it recurs by chance: one of ``long_tokens`` constant words or more is dropped from
+``long_texts`` texts on, as it stands; one of one or two words only if very many
+texts hold it, and never if it has a digit or no letter, as a brace of code.
 
 All steps are counts over (leaf), (leaf, place, token) and (template), which are
 combined before they are shuffled, so a line that a third of all documents share
-is one row per task. Lines of leaves with fewer rows than ``min_texts`` cannot
+is one row per task. Lines of leaves with fewer rows than their limit cannot
 recur and never leave the scan: a bitmap of fixed size tells them, and a join
 on the leaf makes up for its false alarms.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +32,14 @@ from tallyweave.session import settle
 
 VARIABLE = b"<*>"
 _NO_DIGITS = bytes(range(48, 58))
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``leading`` tokens lead to a leaf; lines of fewer than ``min_tokens`` words are left alone.
+    """``leading`` tokens lead to a leaf; lines of fewer than ``min_tokens`` words are short.
+
+    Short lines recur from ``short_texts`` texts on, and at least the share ``short_share`` of the rows.
 
     ``bits``: the bitmap of leaves has 2 ** bits bits, which is all that is sent to tasks.
     """
@@ -40,20 +47,26 @@ class Tree:
     leading: int = 3
     min_tokens: int = 3
     min_texts: int = 10
+    long_tokens: int = 20
+    long_texts: int = 3
+    short_texts: int = 100
+    short_share: float = 0.01
     constant_share: float = 0.6
     keep_first: bool = True
     bits: int = 25
 
 
 def masked_lines(text: str | None, tree: Tree) -> Iterator[tuple[int, list[bytes], int]]:
-    """Line number, masked tokens and leaf of each line that has enough words."""
+    """Line number, masked tokens and leaf of each line that can recur."""
     if not text:
         return
     raw = text.encode("utf-8", "surrogatepass")
     digits = len(raw) != len(raw.translate(None, _NO_DIGITS))
     for no, line in enumerate(raw.split(b"\n")):
         tokens = line.split()
-        if len(tokens) < tree.min_tokens:
+        if not tokens:
+            continue
+        if len(tokens) < tree.min_tokens and (len(line) != len(line.translate(None, _NO_DIGITS)) or not line.translate(None, _NO_LETTERS)):
             continue
         if digits and len(line) != len(line.translate(None, _NO_DIGITS)):
             tokens = [VARIABLE if len(t) != len(t.translate(None, _NO_DIGITS)) else t for t in tokens]
@@ -61,15 +74,17 @@ def masked_lines(text: str | None, tree: Tree) -> Iterator[tuple[int, list[bytes
         yield no, tokens, signed(xxhash.xxh3_64_intdigest(path))
 
 
-def _leaves(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Leaves that at least ``min_texts`` rows reach."""
+def _leaves(docs: DataFrame, tree: Tree, short: int) -> DataFrame:
+    """Leaves that enough rows reach for a line of their length to recur; ``short``: the limit of short lines."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<struct<leaf: long, size: int>>")
     def leaves(texts: pd.Series) -> pd.Series:
-        return pd.Series([list({leaf for _, _, leaf in masked_lines(as_text(t), tree)}) for t in texts], dtype=object)
+        return pd.Series([list({(leaf, len(tokens)) for _, tokens, leaf in masked_lines(as_text(t), tree)}) for t in texts], dtype=object)
 
-    each = docs.select(F.explode(leaves("t")).alias("leaf"))
-    return each.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= tree.min_texts).select("leaf")
+    each = docs.select(F.explode(leaves("t")).alias("l")).select("l.leaf", "l.size")
+    least = F.when(F.col("size") < tree.min_tokens, short).when(F.col("size") >= tree.long_tokens, min(tree.long_texts, tree.min_texts))
+    enough = F.col("n") >= least.otherwise(tree.min_texts)
+    return each.groupBy("leaf").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter(enough).select("leaf")
 
 
 def _occurrences(docs: DataFrame, bitmap, tree: Tree) -> DataFrame:
@@ -93,7 +108,7 @@ def _occurrences(docs: DataFrame, bitmap, tree: Tree) -> DataFrame:
 
 
 def _templates(lines: DataFrame, tree: Tree) -> DataFrame:
-    """``leaf, lk, template``: the template of each different line. ``lines``: leaf, lk, line, n (its texts)."""
+    """``leaf, lk, line, n, size, constants, template``: the template of each different line. ``lines``: leaf, lk, line, n (its texts)."""
     later = F.slice(F.split("line", " "), tree.leading + 1, F.greatest(F.size(F.split("line", " ")) - tree.leading, F.lit(0)))
     each = lines.select("leaf", "lk", "n", F.posexplode(later).alias("place", "token"))
     common = each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("m")).filter(
@@ -112,7 +127,8 @@ def _templates(lines: DataFrame, tree: Tree) -> DataFrame:
     return (
         lines.join(kept, ["leaf", "lk"], "left").withColumn("general", general)
         .select(
-            "leaf", "lk",
+            "leaf", "lk", "line", "n", F.size(tokens).alias("size"),
+            F.size(F.filter(tokens, lambda t: t != VARIABLE.decode())).alias("constants"),
             F.when(stay >= tree.constant_share * F.size("general"), F.concat_ws(" ", "general")).otherwise(F.col("line")).alias("template"),
         )
     )
@@ -127,7 +143,8 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    leaves = settle(_leaves(base, tree))
+    short = max(tree.short_texts, math.ceil(tree.short_share * docs.count()))
+    leaves = settle(_leaves(base, tree, short))
     bitmap = spark.sparkContext.broadcast(bitmap_of(leaves, "leaf", tree.bits))
     keyed = base.filter(F.col("t").isNotNull()).withColumns({"rk": row_key(F.col("id"), F.col("t")), "tk": text_key(F.col("t"))})
     occ = settle(_occurrences(keyed, bitmap, tree).withColumn("lk", F.unhex(F.md5("line"))))
@@ -138,12 +155,18 @@ def recurring_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         .join(leaves, "leaf", "left_semi")
     )
     named = settle(_templates(settle(lines), tree).withColumn("pk", F.unhex(F.md5("template"))))
-    found = occ.select("rk", "id", "tk", "no", "leaf", "lk").join(named.select("leaf", "lk", "pk"), ["leaf", "lk"])
+    found = occ.select("rk", "id", "tk", "no", "leaf", "lk").join(named.select("leaf", "lk", "pk", "size"), ["leaf", "lk"])
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("tk").alias("t"), F.col("no").alias("no"))
     # One row for each template and text first: a hot template is then split over its texts.
-    texts = found.groupBy("leaf", "pk", "tk").agg(F.min(order).alias("first"))
-    often = texts.groupBy("leaf", "pk").agg(F.count("*").alias("texts"), F.min("first").alias("first")).filter(F.col("texts") >= tree.min_texts)
+    texts = found.groupBy("leaf", "pk", "tk").agg(F.min(order).alias("first"), F.max("size").alias("size"))
+    often = texts.groupBy("leaf", "pk").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("size").alias("size"))
+    often = settle(often.filter(F.col("texts") >= F.when(F.col("size") < tree.min_tokens, short).otherwise(tree.min_texts)).drop("size"))
     lines_often = named.join(often, ["leaf", "pk"]).select("leaf", "lk", "template", "texts", "first")
+    # A long line counts as it stands where its template, if it has one, is not frequent enough.
+    long = named.filter((F.col("constants") >= tree.long_tokens) & (F.col("n") >= min(tree.long_texts, tree.min_texts)))
+    long = long.join(often.select("leaf", "pk"), ["leaf", "pk"], "left_anti").select("leaf", "lk", F.col("line").alias("template"), F.col("n").alias("texts"))
+    begin = occ.select("id", "tk", "no", "leaf", "lk").join(long.select("leaf", "lk"), ["leaf", "lk"]).groupBy("leaf", "lk").agg(F.min(order).alias("first"))
+    lines_often = lines_often.unionByName(long.join(begin, ["leaf", "lk"]))
     out = occ.select("rk", "id", "tk", "no", "leaf", "lk").join(lines_often, ["leaf", "lk"])
     if tree.keep_first:
         out = out.filter(~order.eqNullSafe(F.col("first")))

@@ -96,3 +96,18 @@ def test_edges(odd, none):
     clash = odd.withColumn("dropped_lines", F.lit(1)).withColumn("leaf", F.lit("x")).withColumn("no", F.lit(0))
     out = lt.drop_recurring(clash)
     assert out.count() == odd.count() and dict(out.dtypes)["dropped_lines"] == "array<int>"
+
+
+def test_the_limit_depends_on_the_length(spark):
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    passage = " ".join(word(1000 + k) for k in range(60))
+    rows = []
+    for i in range(400):
+        lines = [f"start {word(i)} own words {word(7 * i)}"]
+        lines += [passage] * (i < 3) + ["Read more", "}", "Page 1"] * (i % 3 == 0) + ["middle sized line of some words"] * (i < 9) + ["Two words"] * (i < 50)
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lt.drop_recurring(df.withColumn("was", F.col("text"))).collect()}
+    for i, r in got.items():
+        gone = [x for k, x in enumerate(r.was.split("\n")) if k in set(r.dropped_lines)]
+        assert gone == [passage] * (0 < i < 3) + ["Read more"] * (i % 3 == 0 and i > 0), i
