@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import compression_classifier, credentials, dimension_scan, licenses, line_templates, mixing, nbest, ngram_join, quality_bands, toxicity
+from tallyweave.llm import compression_classifier, credentials, dimension_scan, licenses, line_templates, mixing, nbest, ngram_join, periodic_runs, quality_bands, token_counts, toxicity
 from tallyweave.llm.common import table
 
 
@@ -91,6 +91,27 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(docs).select("doc_id", "pieces.*")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, the one that repeats most, and digests of all runs and of the collapsed text."""
+    docs = periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs, into="p").select("doc_id", "p.*").withColumn("best", periodic_runs.greatest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_merged_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether it is longer than 4,096 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")
+    )
+
+
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
     "op2_dimension_scan": op2_dimension_scan,
@@ -102,6 +123,8 @@ QUERIES = {
     "op8_credential_linking": op8_credential_linking,
     "op9_license_classifier": op9_license_classifier,
     "op10_nbest_pieces": op10_nbest_pieces,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merged_token_counts": op13_merged_token_counts,
 }
 
 ORACLES: dict[str, str] = {"op7_raked_mixing": mixing.oracle()}
