@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import compression_classifier, credentials, dimension_scan, licenses, line_templates, mixing, nbest, ngram_join, periodic_runs, quality_bands, token_counts, toxicity
+from tallyweave.llm import compression_classifier, credentials, dimension_scan, licenses, line_templates, mixing, nbest, negative_mining, ngram_join, periodic_runs, quality_bands, token_counts, toxicity
 from tallyweave.llm.common import table
 
 
@@ -91,6 +91,13 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(docs).select("doc_id", "pieces.*")
 
 
+def op11_coordinate_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five negatives for each of the five positives of every row whose id is divisible by 100."""
+    rows = negative_mining.whole(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negative_mining.mine(rows.withColumn("label", moved))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's periodic runs, the one that repeats most, and digests of all runs and of the collapsed text."""
     docs = periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -123,8 +130,9 @@ QUERIES = {
     "op8_credential_linking": op8_credential_linking,
     "op9_license_classifier": op9_license_classifier,
     "op10_nbest_pieces": op10_nbest_pieces,
+    "op11_coordinate_negatives": op11_coordinate_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merged_token_counts": op13_merged_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op7_raked_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op7_raked_mixing": mixing.oracle(), "op11_coordinate_negatives": negative_mining.oracle()}
