@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.llm.common import WORD, as_text, words_of
+from tallyweave.llm.common import as_text, words_of
 
 SCHEMA = "struct<n_words: long, runs: array<struct<start: long, length: long, period: long>>, collapsed: string>"
 
@@ -168,7 +168,8 @@ def periodic_runs(docs: DataFrame, *, text: str = "text", into: str = "periodic"
         for texts in batches:
             yield pd.DataFrame(list(_rows([as_text(t) for t in texts], limits)), columns=["n_words", "runs", "collapsed"])
 
-    return docs.withColumn(into, run(F.col(f"`{text}`")))
+    # Not to be copied into the expressions that are made of its fields.
+    return docs.withColumn(into, run.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def greatest(runs: Column) -> Column:
@@ -177,21 +178,28 @@ def greatest(runs: Column) -> Column:
     return F.aggregate(runs, F.get(runs, F.lit(0)), lambda a, b: F.when(better(a, b), b).otherwise(a))
 
 
+def planted(words: list[bytes], h: int) -> list[bytes]:
+    """``words`` that repeat from place ``a`` on, with a period that ``h`` sets."""
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
 def with_planted_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` where the words of every tenth document, by a hash of its id, repeat from some place on.
 
     Texts without words and rows without an id stay as they are.
     """
     h = F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary"))
-    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
-    g = F.floor(h / 10).cast("long")
-
-    def planted(w: Column) -> Column:
-        n = F.size(w).cast("long")
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-
-    # The words are named once, by an array of one element, not once per use.
-    joined = F.get(F.transform(F.array(words), planted), F.lit(0))
-    return docs.withColumn(text, F.when((h % 10 == 0) & F.col(f"`{text}`").rlike(WORD), joined).otherwise(F.col(f"`{text}`")))
+
+    @F.pandas_udf("string")
+    def run(hashes: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(
+            [b" ".join(planted(words_of(t), int(x))).decode("utf-8", "surrogatepass") if x % 10 == 0 and t and words_of(t) else t
+             for x, t in zip(hashes, map(as_text, texts), strict=True)], dtype=object,
+        )
+
+    return docs.withColumn(text, run(F.coalesce(h, F.lit(1)), F.col(f"`{text}`")))
