@@ -264,9 +264,9 @@ def mine(
     positives = settle(first_of(near, s.positives).select("anchor", "rank", "score", F.col("id").alias("positive_id")))
 
     # Whole numbers all the way; below zero there is no room between 80 and 100 per cent of a score.
-    up = f"({s.low} * score) div 100 + if(({s.low} * score) % 100 > 0, 1, 0)"
-    down = f"({s.high} * score) div 100 - if(({s.high} * score) % 100 < 0, 1, 0)"
-    bounds = positives.withColumns({"low": F.expr(up), "high": F.expr(down)}).filter("low <= high")
+    up = f"({s.low} * big) div 100 + if(({s.low} * big) % 100 > 0, 1, 0)"
+    down = f"({s.high} * big) div 100 - if(({s.high} * big) % 100 < 0, 1, 0)"
+    bounds = positives.withColumn("big", F.col("score").cast("decimal(20,0)")).withColumns({"low": F.expr(up), "high": F.expr(down)}).filter("low <= high")
     windows = bounds.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "low", "high", "positive_id", "score"))).alias("w"))
     windows = windows.select(F.col("anchor").alias("row"), F.col("w.low").alias("low"), F.col("w.high").alias("high"), "w")
     wants = settle(own.join(windows, "row"))
