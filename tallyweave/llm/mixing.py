@@ -69,29 +69,50 @@ def _targets(cells: DataFrame, margin: str, mix: Mix) -> DataFrame:
 def fit(cells: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``cells`` (source, lang, topic, tokens > 0) with ``weight``: fitted by given share of tokens.
 
-    The factors of one margin are a small table that is written and read back, so
-    Spark knows its size: it is broadcast only if that is below the limit.
+    Every cell carries its three factors. A cycle is one plan, written once: per
+    margin a sum over its values, joined back by a merge join, which Spark
+    splits where one value has many cells; nothing is broadcast.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
     # Nulls are values of their own; joins are on the value's place in a struct, which is never null.
-    cells = settle(cells.select("*", *[F.struct(F.col(m)).alias(f"k_{m}") for m in MARGINS]))
-    goals, factors = {}, {}
+    cells = cells.select("*", *[F.struct(F.col(m)).alias(f"k_{m}") for m in MARGINS], *[F.lit(1.0).alias(f"f_{m}") for m in MARGINS])
     for m in MARGINS:
-        goals[m] = settle(_targets(cells, m, mix).select(F.struct(m).alias(f"k_{m}"), "share"))
-        factors[m] = settle(goals[m].select(f"k_{m}", F.lit(1.0).alias(f"f_{m}")))
+        share = _targets(cells, m, mix).select(F.struct(m).alias(f"k_{m}"), F.col("share").alias(f"s_{m}"))
+        cells = cells.join(share.hint("merge"), f"k_{m}")
+    cells = settle(cells)
+    order = cells.columns
     for _ in range(mix.cycles):
         for m in MARGINS:
             others = [x for x in MARGINS if x != m]
-            weighed = cells
-            for x in others:
-                weighed = weighed.join(factors[x], f"k_{x}")
             product = F.col("tokens") * F.col(f"f_{others[0]}") * F.col(f"f_{others[1]}")
-            got = weighed.groupBy(f"k_{m}").agg(F.sum(product).alias("got"))
-            factors[m] = settle(got.join(goals[m], f"k_{m}").select(f"k_{m}", (F.col("share") * F.lit(total) / F.col("got")).alias(f"f_{m}")))
-    out = cells
-    for m in MARGINS:
-        out = out.join(factors[m], f"k_{m}")
-    return out.select(*MARGINS, "tokens", (F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("weight"))
+            got = cells.groupBy(f"k_{m}").agg(F.sum(product).alias("got"))
+            factor = F.col(f"s_{m}") * F.lit(total) / F.col("got")
+            cells = cells.join(got.hint("merge"), f"k_{m}").withColumn(f"f_{m}", factor).select(*order)
+        cells = settle(cells)
+    return cells.select(*MARGINS, "tokens", (F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("weight"))
+
+
+def margins(docs: DataFrame, *, source: str = "source", lang: str = "lang", mix: Mix = Mix(), into: str = "mix") -> DataFrame:
+    """``margin, value, share, weighted, expected`` of the result of :func:`mix_documents`.
+
+    ``share`` is the target; ``weighted`` the share of the weighted tokens, ``expected`` that of the
+    tokens which the sample is expected to hold. Targets that no weights can meet show as a
+    ``weighted`` apart from ``share``; a cap at one moves ``expected``.
+    """
+    m = F.col(f"`{into}`")
+    named = docs.filter(m["n_tokens"] > 0).select(
+        F.col(f"`{source}`").alias("source"), F.col(f"`{lang}`").alias("lang"), m["topic"].alias("topic"), m["n_tokens"].cast("double").alias("tokens"),
+        (m["n_tokens"] * m["weight"]).alias("w"), (m["n_tokens"] * m["probability"]).alias("e"),
+    )
+    cells = settle(named.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.sum("w").alias("w"), F.sum("e").alias("e")))
+    w, e = cells.agg(F.sum("w"), F.sum("e")).first()
+    out = None
+    for name in MARGINS:
+        share = _targets(cells, name, mix).select(F.struct(name).alias("k"), "share")
+        own = cells.groupBy(F.struct(name).alias("k")).agg((F.sum("w") / F.lit(w or 1.0)).alias("weighted"), (F.sum("e") / F.lit(e or 1.0)).alias("expected"))
+        one = share.join(own.hint("merge"), "k").select(F.lit(name).alias("margin"), F.col("k")[name].alias("value"), "share", "weighted", "expected")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def calibrate(cells: DataFrame, keep_share: float) -> DataFrame:
