@@ -31,7 +31,8 @@ class Bands:
 
     ``whole``: (up to so many bytes, least ratio, greatest ratio), in order of
     length; the last one has no end. ``chunk_low`` and ``chunk_high`` hold for
-    chunks of ``chunk_bytes``; a shorter last one counts from half that size.
+    chunks of ``chunk_bytes``, of which the last one ends with the text. A text
+    that fits one chunk is judged as a whole only.
     ``chunk_share``: (up to so many chunks, share of chunks that may lie outside).
     """
 
@@ -44,7 +45,7 @@ class Bands:
     chunk_bytes: int = 2048
     chunk_low: float = 0.22
     chunk_high: float = 0.80
-    chunk_share: tuple[tuple[float, float], ...] = ((2, 0.50), (8, 0.34), (float("inf"), 0.25))
+    chunk_share: tuple[tuple[float, float], ...] = ((4, 0.20), (float("inf"), 0.25))
 
     def band(self, n: int) -> tuple[float, float]:
         return next((low, high) for most, low, high in self.whole if n < most)
@@ -97,9 +98,9 @@ def _assess(text: str | None, bands: Bands, zstd: zstandard.ZstdCompressor) -> t
         return n, chars, symbols, dup, repeat, failed, False, None, 0, 0, 0
     ratio = len(zstd.compress(raw)) / len(raw)
     size = bands.chunk_bytes
-    chunks = [raw[i : i + size] for i in range(0, len(raw), size)]
-    if len(chunks) > 1 and len(chunks[-1]) * 2 < size:
-        chunks.pop()
+    # Every byte lies in a chunk of full size: the last one ends with the text and may overlap the one before.
+    starts = [*range(0, max(len(raw) - size, 0), size), max(len(raw) - size, 0)]
+    chunks = [raw[i : i + size] for i in starts]
     if len(chunks) == 1:
         # The only chunk is the document, which the whole band judges.
         low = high = 0
@@ -115,7 +116,7 @@ def verdict(text: Column, bands: Bands = Bands()) -> Column:
     """A struct of ``SCHEMA`` for each whole text.
 
     Null and empty texts have no words, so the base fails them; their ratio is
-    null. Every row is judged by its own text alone: repeated rows get equal
+    null. Of a very long text every byte lies in a tested chunk. Every row is judged by its own text alone: repeated rows get equal
     results, an empty table an empty one.
     """
 
@@ -130,7 +131,7 @@ def verdict(text: Column, bands: Bands = Bands()) -> Column:
 
 
 def assess(docs: DataFrame, *, text: str = "text", into: str = "quality_rules", bands: Bands = Bands()) -> DataFrame:
-    """``docs`` with a struct column ``into``; a column of that name is replaced."""
+    """``docs`` with a struct column ``into``; a column of that name is replaced, all others stay, whatever their names."""
     return docs.withColumn(into, verdict(F.col(f"`{text}`"), bands))
 
 

@@ -29,6 +29,19 @@ def plain(text):
     return len(w), sum(map(len, w)), symbols, dup, len(inside), failed
 
 
+def chunks(text):
+    """Chunks of a text that cover every byte, and how many lie outside their band; a text of one chunk is judged as a whole only."""
+    raw, b = text.encode(), q.Bands()
+    places = list(range(0, len(raw), b.chunk_bytes))
+    if len(raw) > b.chunk_bytes:
+        places[-1] = len(raw) - b.chunk_bytes
+    parts = [raw[i : i + b.chunk_bytes] for i in places]
+    if len(parts) == 1:
+        return 1, 0
+    ratios = [len(zstandard.ZstdCompressor(level=b.level, write_checksum=False).compress(p)) / len(p) for p in parts]
+    return len(parts), sum(not b.chunk_low <= x <= b.chunk_high for x in ratios)
+
+
 def rows(df):
     return [(r.doc_id, r.text, r.q) for r in q.assess(df, into="q").select("doc_id", "text", "q").collect()]
 
@@ -43,8 +56,10 @@ def test_base_and_verdict_against_plain(documents, odd):
             ratio = len(zstd.compress(text.encode())) / len(text.encode())
             low, high = q.Bands().band(len(text.encode()))
             assert abs(r.ratio - ratio) < 1e-2
-            if not r.base_failed and not r.n_chunks > 1:
-                assert r.kept == (low <= r.ratio <= high)
+            n, bad = chunks(text)
+            assert (r.n_chunks, r.low_chunks + r.high_chunks) == (n, bad)
+            fits = low <= r.ratio <= high and bad <= q.Bands().share(n) * n
+            assert r.kept == (not r.base_failed and fits)
         else:
             assert r.ratio is None and not r.kept
 
@@ -72,3 +87,17 @@ def test_edges(odd, none):
     assert out.columns.count("quality_rules") == 1 and out.filter("n_words = -1").count() == odd.count()
     kept = q.keep_good(odd)
     assert kept.columns == odd.columns and kept.count() == 1
+
+
+def test_noise_in_the_tail_is_read(spark):
+    """A tail shorter than half a chunk is in a tested chunk, also where it is the second one."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choices(vocabulary, k=3000)).encode()
+    noise = bytes(rng.choices(range(33, 127), k=1000))
+    texts = [(prose[:6144] + noise).decode(), (prose[:2048] + noise).decode(), prose[:7144].decode()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: r for i, _, r in rows(df)}
+    assert [got[i].n_chunks for i in range(3)] == [4, 2, 4]
+    assert got[0].high_chunks == 1 and got[1].high_chunks == 1
+    assert [got[i].kept for i in range(3)] == [False, False, True] and not any(r.base_failed for r in got.values())
