@@ -31,8 +31,8 @@ class Bands:
 
     ``whole``: (up to so many bytes, least ratio, greatest ratio), in order of
     length; the last one has no end. ``chunk_low`` and ``chunk_high`` hold for
-    chunks of ``chunk_bytes``, of which the last one ends with the text. A text
-    that fits one chunk is judged as a whole only.
+    chunks of ``chunk_bytes``; a last one below a quarter of that size is read
+    with the bytes before it. A text that fits one chunk is judged as a whole only.
     ``chunk_share``: (up to so many chunks, share of chunks that may lie outside).
     """
 
@@ -98,9 +98,10 @@ def _assess(text: str | None, bands: Bands, zstd: zstandard.ZstdCompressor) -> t
         return n, chars, symbols, dup, repeat, failed, False, None, 0, 0, 0
     ratio = len(zstd.compress(raw)) / len(raw)
     size = bands.chunk_bytes
-    # Every byte lies in a chunk of full size: the last one ends with the text and may overlap the one before.
-    starts = [*range(0, max(len(raw) - size, 0), size), max(len(raw) - size, 0)]
-    chunks = [raw[i : i + size] for i in starts]
+    chunks = [raw[i : i + size] for i in range(0, len(raw), size)]
+    if len(chunks) > 1 and len(chunks[-1]) * 4 < size:
+        # Too short a tail for a ratio of its own; it is read with what stands before it.
+        chunks[-1] = raw[-size:]
     if len(chunks) == 1:
         # The only chunk is the document, which the whole band judges.
         low = high = 0

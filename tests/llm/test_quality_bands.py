@@ -32,10 +32,9 @@ def plain(text):
 def chunks(text):
     """Chunks of a text that cover every byte, and how many lie outside their band; a text of one chunk is judged as a whole only."""
     raw, b = text.encode(), q.Bands()
-    places = list(range(0, len(raw), b.chunk_bytes))
-    if len(raw) > b.chunk_bytes:
-        places[-1] = len(raw) - b.chunk_bytes
-    parts = [raw[i : i + b.chunk_bytes] for i in places]
+    parts = [raw[i : i + b.chunk_bytes] for i in range(0, len(raw), b.chunk_bytes)]
+    if len(raw) > b.chunk_bytes and len(parts[-1]) < b.chunk_bytes / 4:
+        parts[-1] = raw[len(raw) - b.chunk_bytes :]
     if len(parts) == 1:
         return 1, 0
     ratios = [len(zstandard.ZstdCompressor(level=b.level, write_checksum=False).compress(p)) / len(p) for p in parts]
