@@ -6,7 +6,7 @@ import importlib
 
 from tallyweave.catalog.base import Entry
 
-MODULES = ("mapping", "figures", "findings", "evidence", "audit_trail")
+MODULES = ("mapping", "figures", "findings", "evidence", "audit_trail", "streams")
 
 
 def entries() -> dict[str, Entry]:

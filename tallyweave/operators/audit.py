@@ -15,11 +15,14 @@ def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}), 256)
 
 
-def watermark(df: DataFrame, keys: Sequence[str] = ("borrower",), date_column: str = "begin_date") -> DataFrame:
-    """Content fingerprint per key: blind to row order, not to repeats.
+PARTS = ("rows", "_a", "_b", "_x", "latest_date")
+
 
-    Row digests are folded into a count, two 64-bit halves summed and one xor, all
-    mergeable, so a tape of any size is fingerprinted without sorting it.
+def fingerprint_parts(df: DataFrame, keys: Sequence[str] = ("borrower",), date_column: str = "begin_date") -> DataFrame:
+    """What the fingerprint of each key is made of; the parts of two sets of rows add up (:func:`merge_parts`).
+
+    Row digests are folded into a count, two 64-bit halves summed and one xor, so
+    a tape of any size is fingerprinted without sorting it, whole or piece by piece.
     """
     digest = row_digest(df, [c for c in df.columns if c not in keys])
     lean = df.select(*keys, F.col(f"`{date_column}`").cast("string").alias("_date"), digest.alias("_d"))
@@ -27,14 +30,31 @@ def watermark(df: DataFrame, keys: Sequence[str] = ("borrower",), date_column: s
     def half(start: int) -> Column:
         return F.conv(F.substring("_d", start, 15), 16, 10).cast("decimal(38,0)")
 
-    folded = lean.groupBy(*keys).agg(
+    return lean.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(half(1)).alias("_a"), F.sum(half(16)).alias("_b"),
         F.bit_xor(half(31).cast("long")).alias("_x"),
         F.max(F.nullif(F.col("_date"), F.lit(""))).alias("latest_date"),
     )
+
+
+def merge_parts(parts: DataFrame, keys: Sequence[str] = ("borrower",)) -> DataFrame:
+    """The parts of all rows of a key from those of its pieces, in whatever order they came."""
+    return parts.groupBy(*keys).agg(
+        F.sum("rows").alias("rows"), F.sum("_a").cast("decimal(38,0)").alias("_a"), F.sum("_b").cast("decimal(38,0)").alias("_b"),
+        F.bit_xor("_x").alias("_x"), F.max("latest_date").alias("latest_date"),
+    )
+
+
+def fingerprint(parts: DataFrame, keys: Sequence[str] = ("borrower",)) -> DataFrame:
+    """Keys with ``watermark, rows, latest_date`` from their parts."""
     text = F.concat_ws("|", F.col("rows").cast("string"), F.col("_a").cast("string"), F.col("_b").cast("string"), F.col("_x").cast("string"))
-    return folded.select(*keys, F.sha2(text, 256).alias("watermark"), "rows", "latest_date")
+    return parts.select(*keys, F.sha2(text, 256).alias("watermark"), "rows", "latest_date")
+
+
+def watermark(df: DataFrame, keys: Sequence[str] = ("borrower",), date_column: str = "begin_date") -> DataFrame:
+    """Content fingerprint per key: blind to row order, not to repeats."""
+    return fingerprint(fingerprint_parts(df, keys, date_column), keys)
 
 
 def changed(current: DataFrame, previous: DataFrame, keys: Sequence[str] = ("borrower",)) -> DataFrame:
@@ -157,7 +177,11 @@ def judge_reviews(actions: DataFrame) -> DataFrame:
 
 def review_state(actions: DataFrame) -> DataFrame:
     """Final status, reviewer and note per exception."""
-    judged = judge_reviews(actions)
+    return state_of(judge_reviews(actions))
+
+
+def state_of(judged: DataFrame) -> DataFrame:
+    """The same from actions that have been judged."""
     sets = F.col("valid") & (F.col("action") != "sign_off")
     return judged.groupBy("exception_id").agg(
         F.max_by("status_after", "seq").alias("status"),
