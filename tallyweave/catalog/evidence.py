@@ -9,6 +9,7 @@ from tallyweave.catalog.figures import bank_fx
 from tallyweave.catalog.views import load, view
 from tallyweave.functions.money import plain_number
 from tallyweave.operators import aggregate, cashmap, match, normalize, positioned, statements
+from tallyweave.session import settle
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -40,32 +41,51 @@ _EXACT = """SELECT r.seq AS reported_seq, i.seq AS independent_seq, r.v AS match
  JOIN (SELECT seq, lower(trim(description)) AS v, row_number() OVER (PARTITION BY lower(trim(description)) ORDER BY seq) AS n FROM ind WHERE trim(description) <> '') i ON r.v = i.v AND r.n = i.n"""
 _SIDES = {"rep": _REP, "ind": _IND}
 ENTRIES["match_exact"] = Entry(lambda s, d: match.match(_reported(s, d), _independent(s, d), partial=False), sql(_EXACT, **_SIDES))
-ENTRIES["match_partial"] = Entry(lambda s, d: match.match(_reported(s, d), _independent(s, d)))
+
+#: Serving in order by rounds: every reported row asks for the best place of its list that has not refused it, a place
+#: keeps the earliest row. The k-th row of a text begins with the k-th place, since those before it are served first.
+_SERVED = """WITH RECURSIVE rv AS MATERIALIZED (SELECT seq AS r, lower(trim(description)) AS v FROM rep WHERE trim(description) <> ''),
+iv AS MATERIALIZED (SELECT seq AS i, lower(trim(description)) AS w FROM ind WHERE trim(description) <> ''),
+dv AS MATERIALIZED (SELECT DISTINCT v FROM rv), dw AS MATERIALIZED (SELECT DISTINCT w FROM iv),
+inner_ AS (SELECT DISTINCT v, w FROM (SELECT w, substr(w, CAST(s.s AS BIGINT), n) AS part FROM dw, (SELECT DISTINCT length(v) AS n FROM dv) l, unnest(range(1, length(w) - n + 2)) AS s(s)) x JOIN dv ON part = v),
+outer_ AS (SELECT DISTINCT v, w FROM (SELECT v, substr(v, CAST(s.s AS BIGINT), n) AS part FROM dv, (SELECT DISTINCT length(w) AS n FROM dw) l, unnest(range(1, length(v) - n + 2)) AS s(s)) x JOIN dw ON part = w),
+places AS MATERIALIZED (SELECT v, w, i, row_number() OVER (PARTITION BY v ORDER BY v = w DESC, i) AS k FROM (SELECT * FROM inner_ UNION SELECT * FROM outer_) e JOIN iv USING (w)),
+asks AS (
+  SELECT 0 AS round, r, v, row_number() OVER (PARTITION BY v ORDER BY r) AS k FROM rv
+  UNION ALL
+  SELECT round + 1, r, v, CASE WHEN r = first THEN k ELSE k + 1 END FROM (
+    SELECT *, max(CASE WHEN r <> first THEN 1 ELSE 0 END) OVER () AS refused FROM (
+      SELECT a.round, a.r, a.v, a.k, min(a.r) OVER (PARTITION BY p.i) AS first FROM asks a JOIN places p ON a.v = p.v AND a.k = p.k) x) y
+  WHERE refused = 1
+)
+SELECT a.r AS reported_seq, p.i AS independent_seq, CASE WHEN p.v = p.w THEN p.v ELSE concat(p.v, ' ~ ', p.w) END AS match_key, CASE WHEN p.v = p.w THEN 'exact' ELSE 'partial' END AS match_type
+FROM asks a JOIN places p ON a.v = p.v AND a.k = p.k WHERE a.round = (SELECT max(round) FROM asks)"""
+ENTRIES["match_partial"] = Entry(lambda s, d: match.match(_reported(s, d), _independent(s, d)), sql(f"SELECT * FROM ({_SERVED}) pairs", **_SIDES))
 
 
 def _unmatched(s: SparkSession, d: str) -> DataFrame:
     r, i = _reported(s, d), _independent(s, d)
-    pairs = match.match(r, i, partial=False)
+    pairs = settle(match.match(r, i))
     side = lambda df, name: match.unmatched(df, pairs, name).select(F.lit(name).alias("side"), "seq")
     return side(r, "reported").unionByName(side(i, "independent"))
 
 
 ENTRIES["match_unmatched"] = Entry(
     _unmatched,
-    sql("SELECT 'reported' AS side, seq FROM rep WHERE seq NOT IN (SELECT reported_seq FROM pairs) UNION ALL SELECT 'independent', seq FROM ind WHERE seq NOT IN (SELECT independent_seq FROM pairs)", **_SIDES, pairs=_EXACT),
+    sql("SELECT 'reported' AS side, seq FROM rep WHERE seq NOT IN (SELECT reported_seq FROM pairs) UNION ALL SELECT 'independent', seq FROM ind WHERE seq NOT IN (SELECT independent_seq FROM pairs)", **_SIDES, pairs=_SERVED),
 )
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
     r, i = _reported(s, d), _independent(s, d)
-    out = match.report(r, i, match.match(r, i, partial=False))
+    out = match.report(r, i, settle(match.match(r, i)))
     return out.select(F.col("Status").alias("status"), F.col("Match key").alias("match_key"), F.col("`Reported: seq`").alias("reported_seq"), F.col("`Independent: seq`").alias("independent_seq"))
 
 
 ENTRIES["match_report"] = Entry(
     _report,
-    sql("""SELECT CASE WHEN p.match_type IS NULL THEN 'In reported only' ELSE 'Matched' END AS status, coalesce(p.match_key, '') AS match_key, r.seq AS reported_seq, p.independent_seq FROM rep r LEFT JOIN pairs p ON r.seq = p.reported_seq
-        UNION ALL SELECT 'In independent only', '', NULL, seq FROM ind WHERE seq NOT IN (SELECT independent_seq FROM pairs)""", **_SIDES, pairs=_EXACT),
+    sql("""SELECT CASE p.match_type WHEN 'exact' THEN 'Matched' WHEN 'partial' THEN 'Partial match' ELSE 'In reported only' END AS status, coalesce(p.match_key, '') AS match_key, r.seq AS reported_seq, p.independent_seq
+        FROM rep r LEFT JOIN pairs p ON r.seq = p.reported_seq UNION ALL SELECT 'In independent only', '', NULL, seq FROM ind WHERE seq NOT IN (SELECT independent_seq FROM pairs)""", **_SIDES, pairs=_SERVED),
 )
 ENTRIES["match_any_column"] = Entry(
     lambda s, d: match.match(view(s, d, "loan_tape").select("seq", "loan_id"), load(s, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit("# ")).alias("code")),
