@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.catalog.base import Entry, balances, bank, money, sql, tape_events
-from tallyweave.catalog.figures import bank_fx
+from tallyweave.catalog.base import Entry, bank, money, rates, sql, tape_events
 from tallyweave.catalog.views import load, view
 from tallyweave.functions.money import plain_number
-from tallyweave.operators import aggregate, cashmap, match, normalize, positioned, statements
+from tallyweave.operators import aggregate, cashmap, fx, match, normalize, positioned, statements
 from tallyweave.session import settle
 
 ENTRIES: dict[str, Entry] = {}
@@ -181,22 +180,6 @@ ENTRIES["stmt_running_balance"] = Entry(
 )
 
 
-def _summaries(s: SparkSession, d: str) -> DataFrame:
-    rows = bank_fx(s, d).filter(F.col("account_ref") != "")
-    bal = balances(s, d).groupBy("account_ref").agg(aggregate.total(F.col("closing_balance")).alias("closing_balance"))
-    shapes = rows.select("account_ref").distinct().select("account_ref", F.lit("flat").alias("layout"), F.lit("absa").alias("bank"), F.col("account_ref").alias("account_no"), F.lit("").alias("currency"))
-    names = rows.select("account_ref", "borrower").distinct().select("account_ref", F.col("borrower").alias("label"))
-    out = aggregate.statement_summaries(rows, bal, shapes, names)
-    return out.select("account_ref", "cash_in", "cash_out", "transaction_count", "closing_balance", "layout", F.array_join("candidate_accounts", ",").alias("candidates"))
-
-
-ENTRIES["stmt_summaries"] = Entry(
-    _summaries,
-    sql(f"""SELECT t.*, b.closing_balance, 'flat' AS layout, c.candidates FROM (SELECT account_ref, {money('amount_base', "direction='in'")} AS cash_in, {money('amount_base', "direction='out'")} AS cash_out, count(*) AS transaction_count FROM bank_fx WHERE account_ref <> '' GROUP BY 1) t
-        LEFT JOIN (SELECT account_ref, {money('closing_balance')} AS closing_balance FROM balances GROUP BY 1) b USING (account_ref)
-        LEFT JOIN (SELECT account_ref, string_agg(DISTINCT borrower, ',' ORDER BY borrower) AS candidates FROM bank_rows GROUP BY 1) c USING (account_ref)"""),
-)
-
 # Positioned tables -----------------------------------------------------------
 
 _X = {"#": (10.0, 20.0), "DATE": (40.0, 70.0), "NARRATION": (120.0, 190.0), "DEBIT": (300.0, 340.0), "CREDIT": (400.0, 450.0), "BALANCE": (500.0, 560.0)}
@@ -293,3 +276,40 @@ ENTRIES["cashmap_candidates"] = Entry(
     sql("""SELECT borrower, concat('st-', borrower) AS account_ref, id, named AS by_name FROM (SELECT *, max(hit) OVER (PARTITION BY borrower) AS named FROM (SELECT *, CAST(borrower AS BIGINT) % 3 <> 0 AND bank_name = 'Bank A' AS hit FROM acc) a) b WHERE hit OR NOT named""",
         acc=_ACCOUNTS.replace("list_extract([" + _B + ", '', 'Trust House'], p + 1)", "list_extract([" + _B + ", 'Trust House'], p + 1)")),
 )
+
+
+def _summaries(s: SparkSession, d: str) -> DataFrame:
+    """Every statement text: parsed rows in base currency, its own shape, and the accounts of its borrower's cash map. Some bank rows name no account."""
+    texts = _texts(s, d)
+    key = F.regexp_extract("file", r"(\d+)", 1).cast("long")
+    shapes, parsed = statements.shape(texts), statements.parse(texts)
+    stamped = normalize.stamp_currency(parsed, shapes.select("account_ref", "currency"))
+    loose = bank(s, d).filter(F.col("account_ref") == "")
+    rows = fx.convert(normalize.combine(stamped, loose), rates(s, d))
+    mentions = texts.select(
+        "file", (key % 10 + 1).cast("string").alias("borrower"), F.concat("text", F.when(key % 3 == 0, "\nmoved by BANK B in May").otherwise("")).alias("text")
+    )
+    named = cashmap.candidates(mentions, _account_rows(s, d)).select("account_ref", F.col("id").alias("label"))
+    balance = statements.closing_balances(parsed).select(F.col("file").alias("account_ref"), "closing_balance")
+    out = aggregate.statement_summaries(rows, balance, shapes, named)
+    return out.select(
+        "account_ref", "cash_in", "cash_out", "transaction_count", "closing_balance", "layout", "bank", "account_no", "declared_currency",
+        F.array_join("candidate_accounts", ",").alias("candidates"),
+    )
+
+
+# Every text says "Bank account", which names Bank A.
+_HIT = "(bank_name = 'Bank A' OR says AND bank_name = 'Bank B')"
+ENTRIES["stmt_summaries"] = Entry(
+    _summaries,
+    sql(f"""SELECT t.*, layout, bank, account_no, declared_currency, candidates FROM (
+        SELECT file AS account_ref, CASE WHEN max(layout_no) = 3 THEN 0.0 ELSE {money('amount * rate', "direction='in'")} END AS cash_in, CASE WHEN max(layout_no) = 3 THEN 0.0 ELSE {money('amount * rate', "direction='out'")} END AS cash_out,
+          CASE WHEN max(layout_no) = 3 THEN 0 ELSE count(*) END AS transaction_count, CASE WHEN max(layout_no) IN (0, 2) THEN CAST(arg_max(balance, n) AS DOUBLE) END AS closing_balance
+        FROM (SELECT *, CASE layout_no WHEN 0 THEN 0.25 WHEN 1 THEN 0.0078125 ELSE 1.0 END::DOUBLE AS rate FROM statement_lines) l GROUP BY file
+        UNION ALL SELECT '', {money('amount_base', "direction='in'")}, {money('amount_base', "direction='out'")}, count(*), NULL FROM bank_fx WHERE account_ref = '' HAVING count(*) > 0) t
+        LEFT JOIN (SELECT file, CASE max(layout_no) WHEN 0 THEN 'two_date' WHEN 1 THEN 'single_date' WHEN 2 THEN 'iso_running' ELSE '' END AS layout, 'absa' AS bank, CAST(max(l_orderkey) + 1000000 AS VARCHAR) AS account_no,
+          CASE max(layout_no) WHEN 0 THEN 'PEN' WHEN 1 THEN 'KES' WHEN 2 THEN 'USD' ELSE '' END AS declared_currency, max(l_orderkey) % 10 + 1 AS b, max(l_orderkey) % 3 = 0 AS says FROM statement_lines GROUP BY file) h ON t.account_ref = h.file
+        LEFT JOIN (SELECT CAST(borrower AS BIGINT) AS b, says, string_agg(id, ',' ORDER BY id) AS candidates FROM (
+          SELECT *, {_HIT} AS hit, max({_HIT}) OVER (PARTITION BY borrower, says) AS any_hit FROM acc CROSS JOIN (SELECT unnest([TRUE, FALSE]) AS says) q) a WHERE hit OR NOT any_hit GROUP BY 1, 2) c ON h.b = c.b AND h.says = c.says""",
+        acc=_ACCOUNTS.replace("list_extract([" + _B + ", '', 'Trust House'], p + 1)", "list_extract([" + _B + ", 'Trust House'], p + 1)")),
+)

@@ -111,14 +111,20 @@ def closing_cash(balances: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def statement_summaries(rows: DataFrame, balances: DataFrame, shapes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per statement: totals, closing balance, declared shape, candidate accounts."""
+    """One row per statement: totals, closing balance, declared shape, candidate accounts.
+
+    Statements are those of ``shapes`` and those that rows name. One without rows
+    has totals of 0; rows without an account are a statement of their own under a blank name.
+    """
     # A statement has at most as many candidates as its cash map lists accounts.
     names = candidates.groupBy("account_ref").agg(F.array_sort(F.collect_set("label")).alias("candidate_accounts"))
+    named = rows.withColumn("account_ref", F.coalesce("account_ref", F.lit("")))
+    totals = cash_totals(named, ["account_ref"]).select("account_ref", "cash_in", "cash_out", "transaction_count")
+    declared = shapes.select("account_ref", "layout", "bank", "account_no", F.col("currency").alias("declared_currency"))
+    zero = {"cash_in": F.coalesce("cash_in", F.lit(0.0)), "cash_out": F.coalesce("cash_out", F.lit(0.0)), "transaction_count": F.coalesce("transaction_count", F.lit(0).cast("long"))}
     return (
-        cash_totals(rows, ["account_ref"])
-        .select("account_ref", "cash_in", "cash_out", "transaction_count")
+        totals.join(declared, "account_ref", "full").withColumns(zero)
         .join(balances.select("account_ref", "closing_balance"), "account_ref", "left")
-        .join(shapes.select("account_ref", "layout", "bank", "account_no", F.col("currency").alias("declared_currency")), "account_ref", "left")
         .join(names, "account_ref", "left")
     )
 
