@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.catalog.base import CATEGORIES, COLUMNS, OUTSTANDING, PAID, Entry, bank, rates, sql, tape_events
 from tallyweave.catalog.views import load, view
+from tallyweave.config import TapeColumns
 from tallyweave.functions import dates, money as money_fn, text
 from tallyweave.operators import audit, fx, grids, normalize, registry_json, statements
 from tallyweave.operators.rules.single import roundness
-from tallyweave.sources import tables
+from tallyweave.session import ensure_checkpoint_dir
+from tallyweave.sources import loading, tables
 
 ENTRIES: dict[str, Entry] = {}
 CANON = ["borrower", "key", "sheet", "value_date", "amount", "direction", "currency", "description", "account_ref", "seq"]
@@ -186,7 +190,6 @@ def _renamed_tape(spark: SparkSession, sf: str) -> DataFrame:
         F.format_number("principal_amount", 2).alias("principal"), F.format_number("total_loan_amount", 2).alias("total loan"),
         F.col("principal_outstanding").cast("string").alias("principal_outstanding"), "interest_outstanding", "fee_outstanding", "closure_date", "company_due_date", "currency",
     )
-    from tallyweave.config import TapeColumns
 
     config = TapeColumns(overrides={"lender": {"loan_id": "loanid", "begin_date": "origination_date", "principal_amount": "principal", "total_loan_amount": "total loan"}})
     return normalize.tape_events(normalize.resolve_tape(own, config.resolve("lender")), COLUMNS).select(*CANON)
@@ -359,3 +362,77 @@ ENTRIES["src_statement_lines"] = Entry(
     lambda s, d: statements.lines(view(s, d, "statement_texts")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last")),
     sql("SELECT file, count(*) AS n, max(line) AS last FROM (SELECT file, unnest(string_split(text, chr(10))) AS line FROM statement_texts) x GROUP BY file"),
 )
+
+
+# Files -----------------------------------------------------------------------
+
+_OWN_NAMES = TapeColumns(
+    overrides={"MACHINERY": {"loan_id": "Contract No", "begin_date": "Start", "principal_amount": "Capital", "total_loan_amount": "Total Due", "principal_outstanding": "Open Capital"}},
+    negative_sign_borrowers=frozenset({"MACHINERY"}),
+)
+_TAPE_COLUMNS = ("loan_id", "begin_date", "principal_amount", "total_loan_amount", "principal_outstanding", "interest_outstanding", "fee_outstanding", "penalty_outstanding", "closure_date", "currency")
+
+
+def _write_file(s: SparkSession, rows: DataFrame, order: str, columns: list, folder: str, name: str) -> str:
+    """One CSV file with a header and a known name, its rows in ``order``."""
+    rows.orderBy(order).select(*columns).coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(f"{folder}/{name}.parts")
+    jvm, conf = s._jvm, s._jsc.hadoopConfiguration()
+    parts = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parts")
+    fs = parts.getFileSystem(conf)
+    part = next(x.getPath() for x in fs.listStatus(parts) if x.getPath().getName().startswith("part-"))
+    fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    return f"{folder}/{name}"
+
+
+def _dropped_files(s: SparkSession, d: str) -> DataFrame:
+    """Two tapes under different names for their columns, a ledger, two statements of one name in two folders (with quotes and line breaks), and a simple table."""
+    root = f"{ensure_checkpoint_dir(s)}/files-{uuid.uuid4().hex}"
+    tape, led, moves = view(s, d, "loan_tape"), view(s, d, "ledger"), view(s, d, "bank_rows")
+    out = []
+    for b, names in (("BUILDING", {}), ("MACHINERY", _OWN_NAMES.overrides["MACHINERY"])):
+        columns = [F.col(c).cast("string").alias(names.get(c, c)) for c in _TAPE_COLUMNS]
+        out.append((_write_file(s, tape.filter(F.col("borrower") == b), "seq", columns, root, f"tape {b.lower()}.csv"), b, "tape"))
+    out.append((_write_file(s, led.filter(F.col("borrower") == "BUILDING"), "seq", ["as_of", "ledger_balance", "account", "currency"], root, "books.csv"), "BUILDING", "ledger"))
+    text = F.concat(F.lit('said "'), F.col("description"), F.lit('",\nthen more'))
+    money = F.col("amount").cast("decimal(18,2)").cast("string")
+    side = lambda way: F.when(F.col("direction") == way, money).otherwise("")
+    split = [F.col("value_date").alias("Value Date"), text.alias("Narration"), side("out").alias("Debit"), side("in").alias("Credit")]
+    out.append((_write_file(s, moves.filter("borrower = 'BUILDING'"), "seq", split, f"{root}/a", "march.csv"), "BUILDING", "bank"))
+    one = F.when(F.col("direction") == "out", F.concat(F.lit("-"), money)).otherwise(money)
+    single = [F.col("value_date").alias("DATE"), one.alias("Amount"), text.alias("Details"), F.col("currency").alias("Currency")]
+    out.append((_write_file(s, moves.filter("borrower = 'MACHINERY'"), "seq", single, f"{root}/b", "march.csv"), "MACHINERY", "mobile_money"))
+    out.append((_write_file(s, led.filter(F.col("borrower") == "MACHINERY"), "seq", [F.col("as_of").alias("date"), F.col("ledger_balance").alias("amount"), F.col("account").alias("type")], root, "cash.csv"), "MACHINERY", "cash_map"))
+    return s.createDataFrame([*out, (f"{root}/gone.csv", "MACHINERY", "bank"), (f"{root}/scan.pdf", "MACHINERY", "bank")], "file string, borrower string, sheet string")
+
+
+def _loaded(s: SparkSession, d: str) -> DataFrame:
+    rows = loading.load_normalized(s, _dropped_files(s, d), _OWN_NAMES)
+    return rows.select("borrower", "sheet", "account_ref", "value_date", F.round("amount", 4).alias("amount"), "direction", "currency", "description", "seq")
+
+
+_MOVES = "SELECT *, row_number() OVER (PARTITION BY borrower ORDER BY seq) - 1 AS pos, CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS cents FROM bank_rows"
+_NARRATION = """concat('said "', description, '",', chr(10), 'then more')"""
+_PART_PAID = PAID.replace("company_due_date", "NULL")
+ENTRIES["src_load_normalize"] = Entry(
+    _loaded,
+    sql(f"""SELECT borrower, 'tape' AS sheet, concat('tape ', lower(borrower)) AS account_ref, begin_date AS value_date, round(abs(principal_amount), 4) AS amount, 'out' AS direction, currency, concat('disbursement:', loan_id) AS description, 2 * pos AS seq
+          FROM t WHERE principal_amount <> 0 AND begin_date IS NOT NULL
+        UNION ALL SELECT borrower, 'tape', concat('tape ', lower(borrower)), coalesce(closure_date, begin_date), round({_PART_PAID}, 4), 'in', currency, concat('collections:', loan_id), 2 * pos + 1 FROM t WHERE {_PART_PAID} <> 0 AND coalesce(closure_date, begin_date) IS NOT NULL
+        UNION ALL SELECT borrower, CASE borrower WHEN 'BUILDING' THEN 'ledger' ELSE 'other' END, CASE borrower WHEN 'BUILDING' THEN 'books' ELSE 'cash' END, as_of, round(abs(CAST(ledger_balance AS DOUBLE)), 4), CASE WHEN CAST(ledger_balance AS DOUBLE) >= 0 THEN 'in' ELSE 'out' END,
+          CASE borrower WHEN 'BUILDING' THEN currency ELSE '' END, account, row_number() OVER (PARTITION BY borrower ORDER BY seq) - 1 FROM ledger WHERE borrower IN ('BUILDING', 'MACHINERY')
+        UNION ALL SELECT borrower, CASE borrower WHEN 'BUILDING' THEN 'bank' ELSE 'mobile_money' END, 'march', value_date, cents, direction, CASE borrower WHEN 'BUILDING' THEN '' ELSE currency END, {_NARRATION}, pos FROM m WHERE borrower IN ('BUILDING', 'MACHINERY') AND cents <> 0""",
+        t="SELECT *, row_number() OVER (PARTITION BY borrower ORDER BY seq) - 1 AS pos FROM loan_tape WHERE borrower IN ('BUILDING', 'MACHINERY')", m=_MOVES),
+)
+
+
+def _kinds(s: SparkSession, d: str) -> DataFrame:
+    found = loading.file_kinds(loading.read_files(s, _dropped_files(s, d), _OWN_NAMES))
+    return found.groupBy("borrower", "sheet", "kind").agg(F.sum("rows").alias("rows"), F.count_distinct("signature").alias("signatures"))
+
+
+ENTRIES["src_file_kinds"] = Entry(
+    _kinds,
+    sql("""SELECT borrower, 'tape' AS sheet, 'tape' AS kind, count(*) AS rows, 1 AS signatures FROM loan_tape WHERE borrower IN ('BUILDING', 'MACHINERY') GROUP BY 1
+        UNION ALL SELECT borrower, CASE borrower WHEN 'BUILDING' THEN 'ledger' ELSE 'cash_map' END, 'simple', count(*), 1 FROM ledger WHERE borrower IN ('BUILDING', 'MACHINERY') GROUP BY 1
+        UNION ALL SELECT borrower, CASE borrower WHEN 'BUILDING' THEN 'bank' ELSE 'mobile_money' END, 'statement', count(*), 1 FROM bank_rows WHERE borrower IN ('BUILDING', 'MACHINERY') GROUP BY 1"""),
+)

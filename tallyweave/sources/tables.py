@@ -31,6 +31,17 @@ def _csv(spark: SparkSession, columns: list[str], paths: str | Sequence[str], se
     )
 
 
+def existing(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Those of the paths (globs allowed) that are there; a reader refuses the others."""
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for path in [paths] if isinstance(paths, str) else paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(conf).globStatus(p)
+        if found is not None and len(found):
+            out.append(path)
+    return out
+
+
 def grid_width(spark: SparkSession, paths: str | Sequence[str], separator: str = ",") -> int:
     """No record of the files has more cells than this (quoted separators count too). One number comes to the driver."""
     # Read with one column, a longer record is handed over as it stands.
@@ -50,6 +61,9 @@ def read_grid(spark: SparkSession, paths: str | Sequence[str], *, separator: str
     nothing; a file that cannot be read to its end fails the read, so no part of
     one is taken for the whole.
     """
+    paths = existing(spark, paths)
+    if not paths:
+        return spark.createDataFrame([], "file string, seq long, cells array<string>")
     names = [f"c{i}" for i in range(grid_width(spark, paths, separator))]
     raw = _csv(spark, names, paths, separator)
     placed = raw.select(
@@ -76,10 +90,25 @@ def load_statements(spark: SparkSession, paths: str | Sequence[str], *, sheet: s
     a simple date/amount table. The account is the file name without its suffix;
     a key also names the folder where several files share that name.
     """
-    table = read_raw_table(spark, paths, detect_header=detect_header)
-    r = _roles()
-    has_debit, has_credit = has_named(*ROLE_KEYWORDS["debit"]), has_named(*ROLE_KEYWORDS["credit"])
-    usable = has_named(*ROLE_KEYWORDS["date"]) & (has_named(*ROLE_KEYWORDS["amount"]) | (has_debit & has_credit))
+    return statement_cells(read_raw_table(spark, paths, detect_header=detect_header), F.lit(sheet))
+
+
+def _sides() -> tuple[Column, Column]:
+    return has_named(*ROLE_KEYWORDS["debit"]), has_named(*ROLE_KEYWORDS["credit"])
+
+
+def is_statement() -> Column:
+    """Whether a row's header has a date and an amount, or a date and both sides."""
+    has_debit, has_credit = _sides()
+    return has_named(*ROLE_KEYWORDS["date"]) & (has_named(*ROLE_KEYWORDS["amount"]) | (has_debit & has_credit))
+
+
+def statement_cells(table: DataFrame, sheet: Column) -> DataFrame:
+    """``file, seq, header, cells`` of statements -> canonical rows plus ``balance`` (see :func:`load_statements`)."""
+    r, usable = _roles(), is_statement()
+    has_debit, has_credit = _sides()
+    kept_borrower = F.col("borrower") if "borrower" in table.columns else F.lit(None).cast("string")
+    table = table.withColumns({"borrower": kept_borrower, "sheet": sheet})
     table = table.withColumns({f"_{n}": parse_money(r[n]) for n in ("debit", "credit", "amount")})
     split_value, split_dir = signed_amount(F.col("_debit"), F.col("_credit"), None)
     one_value, one_dir = signed_amount(None, None, F.col("_amount"))
@@ -93,7 +122,7 @@ def load_statements(spark: SparkSession, paths: str | Sequence[str], *, sheet: s
     date = F.when(usable, r["date"]).otherwise(exact("value_date", "date"))
     description = F.when(usable, r["description"]).otherwise(exact("description", "narration", "type"))
     rows = table.select(
-        "file", _stem(F.col("file")).alias("account_ref"), "seq", date.alias("value_date"), value.alias("amount"),
+        "file", "borrower", "sheet", _stem(F.col("file")).alias("account_ref"), "seq", date.alias("value_date"), value.alias("amount"),
         direction.alias("direction"), F.coalesce(description, F.lit("")).alias("description"),
         clean(cell_named("currency")).alias("currency"), r["balance"].alias("balance"),
     ).filter(blank_to_null(F.col("value_date")).isNotNull() & F.col("amount").isNotNull())
@@ -103,9 +132,8 @@ def load_statements(spark: SparkSession, paths: str | Sequence[str], *, sheet: s
     place = F.when(F.col("_files") > 1, F.concat(F.lit("@"), F.substring(F.md5("file"), 1, 12))).otherwise("")
     keyed = rows.withColumns(
         {
-            "borrower": F.lit(None).cast("string"),
             "key": F.concat(F.lit("bank:"), F.col("account_ref"), place, F.lit(":"), F.col("seq").cast("string")),
-            "sheet": F.lit(sheet), "source_type": F.lit(sheet), "confidence": F.lit(1.0),
+            "source_type": F.col("sheet"), "confidence": F.lit(1.0),
         }
     )
     return keyed.select(*canonical(keyed).columns, "balance")
