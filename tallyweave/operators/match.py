@@ -16,29 +16,60 @@ from tallyweave.operators.ordered import HOT_ROWS, exclusive_prefix
 from tallyweave.session import cut
 
 
+#: Length of the stretches of text that needles and hays meet on.
+GRAM = 4
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Hashes of the distinct stretches of ``size`` characters, in time linear in the text.
+
+    A text is cut into characters once: finding the n-th character of a string
+    takes n steps, of an array one.
+    """
+
+    def of(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - F.lit(size)), lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(size)]))
+
+    hashes = F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
+    return F.when(F.length(text) >= size, F.array_distinct(hashes))
+
+
 def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """``needle, hay_id`` for every distinct ``needle`` inside a longer text of ``hays`` (``hay_id, hay``).
 
-    Every hay lists the hashes of its substrings of the lengths some needle has
-    and meets the needles on them. The work grows with the text, never with
-    needles times hays, and only ids and hashes are shuffled. ``hay_id`` is
-    unique; the lengths are one short list read first.
+    An inverted index over grams of fixed length: a needle is looked up under
+    the one of its grams that fewest hays hold, and what is found is compared
+    in full. The work is the length of the texts, however many lengths needles have,
+    and the hays that hold a needle's rarest gram. Needles shorter than a
+    gram are looked up whole. ``hay_id`` is unique.
     """
     n = needles.select("needle").filter(F.col("needle") != "").distinct()
-    lengths = sorted(r[0] for r in n.select(F.length("needle")).distinct().collect())
-    if not lengths:
-        return n.join(hays.select("hay_id"), F.lit(False))
-    size = F.length("hay")
-    each_length = hays.select(
-        "hay_id", "hay", F.explode(F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x < size)).alias("len")
+    size = F.length("needle")
+    # One row: which of the few lengths below a gram occur.
+    short = n.agg(*[F.max(size == k).alias(str(k)) for k in range(1, GRAM)]).first()
+    sizes = [k for k in range(1, GRAM) if short[str(k)]] + [GRAM]
+
+    def index(df: DataFrame, kept: str, text: str) -> DataFrame:
+        def sized(k: int) -> Column:
+            found = F.coalesce(_grams(F.col(text), k), F.array().cast("array<long>"))
+            return F.transform(found, lambda h: F.struct(F.lit(k).alias("size"), h.alias("h")))
+
+        return df.select(kept, F.explode(F.concat(*map(sized, sizes))).alias("g")).select(kept, "g.size", "g.h")
+
+    own = F.least(F.length("needle"), F.lit(GRAM))
+    asked = index(n, "needle", "needle").filter(F.col("size") == own)
+    held = index(hays.select("hay_id", "hay"), "hay_id", "hay")
+    # Grams that needles ask for, with the number of hays that hold them; none, and the needle is nowhere.
+    wanted = asked.select("size", "h").distinct()
+    held = held.join(wanted, ["size", "h"], "left_semi")
+    common = held.groupBy("size", "h").agg(F.count(F.lit(1)).alias("_hays"))
+    scored = asked.join(common, ["size", "h"], "left").groupBy("needle").agg(
+        F.min(F.struct(F.coalesce("_hays", F.lit(0)).alias("_hays"), "size", "h")).alias("a")
     )
-    starts = F.sequence(F.lit(1), size - F.col("len") + 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("hay"), i, F.col("len"))))
-    pieces = each_length.select("hay_id", "len", F.explode(F.array_distinct(hashes)).alias("h"))
-    keyed = n.select("needle", F.length("needle").alias("len"), F.xxhash64("needle").alias("h"))
-    met = pieces.join(keyed, ["len", "h"]).select("hay_id", "needle")
-    # Equal hashes are not yet equal text.
-    return met.join(hays, "hay_id").filter(F.contains("hay", "needle")).select("needle", "hay_id")
+    anchors = scored.filter("a._hays > 0").select("needle", "a.size", "a.h")
+    met = held.join(anchors, ["size", "h"]).select("hay_id", "needle")
+    # A gram in common is not yet the needle.
+    return met.join(hays.select("hay_id", "hay"), "hay_id").filter((size < F.length("hay")) & F.contains("hay", "needle")).select("needle", "hay_id")
 
 
 def _pair_by_rank(left: DataFrame, right: DataFrame, hot_rows: int) -> DataFrame:
