@@ -4,6 +4,9 @@ A text is a lattice of pieces. A forward Viterbi pass gives each place the best
 score from the start. Backward from the end, an A* search extends partial
 segmentations to the left; the forward score of its place is an exact estimate
 of what is still to come, so complete segmentations leave the queue best first.
+As the estimate is exact, each open segmentation stands for a complete one of just
+that score: the N best open ones hold the N best, and no more are kept. Segmentations
+share their tails by pointers, so memory and time are linear in an unbroken run.
 
 Texts are cut where no piece reaches over, which leaves the result as it is:
 the best segmentations of a text then follow from those of its units, and units
@@ -69,6 +72,7 @@ class Remembered(dict):
     former old ones go; what is used again is young again. So memory is bounded and frequent words stay."""
 
     MOST = 250_000
+    LONGEST = 1_000  # characters of what is remembered, so that the entries are bounded in bytes, too
 
     def __init__(self, cut):
         super().__init__()
@@ -78,6 +82,8 @@ class Remembered(dict):
         got = self.old.get(text)
         if got is None:
             got = self.cut(text)
+            if len(text) > self.LONGEST:
+                return got
         if len(self) >= self.MOST:
             self.old = dict(self)
             self.clear()
@@ -90,6 +96,7 @@ class Segmenter:
 
     def __init__(self, vocab: Pieces, n: int):
         self.vocab, self.n = vocab, n
+        self.longest, self.piece = 1, {}
         # A node of the tree of pieces: nodes by next character, ids and score of the piece that ends here.
         self.root: tuple[dict, list] = ({}, [])
         inside: set[str] = set()
@@ -97,6 +104,7 @@ class Segmenter:
         for i, (p, s) in enumerate(zip(vocab.pieces, vocab.scores)):
             if not vocab.usable[i]:
                 continue
+            self.longest, self.piece[p] = max(self.longest, len(p)), ((i,), s)
             inside.update(p[k - 1 : k + 1] for k in range(1, len(p)))
             node = self.root
             for c in p:
@@ -116,55 +124,64 @@ class Segmenter:
         self.unk_score = min((s for i, s in enumerate(vocab.scores) if vocab.usable[i] and s > BARRED), default=0.0) - UNKNOWN_PENALTY
         # Where no piece holds a space after another character, words are independent.
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S) if not spanned else re.compile("(?s).+")
-        self.known = Remembered(self.cut)
-        self.best_of = Remembered(lambda unit: self.search(unit, self.n))
+        self.known, self.unit = Remembered(self.cut), Remembered(self.viterbi)
+        self.best_of = Remembered(self.ranked)
         self.borders = re.compile(r"\b").finditer
-        # A byte decodes on its own; it is put together with its neighbours when text is made.
-        self.out = [p.replace(SPACE, " ") for p in vocab.pieces]
-
-    def arcs(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end, the arcs (start, ids, score) of the lattice."""
-        n = len(unit)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            node, single = self.root, False
-            for j in range(i, n):
-                node = node[0].get(unit[j])
-                if node is None:
-                    break
-                for ids, s in node[1]:
-                    into[j + 1].append((i, ids, s))
-                    single |= j == i
-            if not single:
-                into[i + 1].append((i, self.unknown(unit[i]), self.unk_score))
-        return into
+        # UTF-8 of every id. A byte piece is its byte, which is read together with its neighbours.
+        low = vocab.bytes_from
+        out = [bytes([i - low]) if 0 <= low <= i < low + 256 else p.replace(SPACE, " ").encode() for i, p in enumerate(vocab.pieces)]
+        self.out = pa.array(out, type=pa.large_binary())
+
+    def arcs(self, unit: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """The arcs (start, ids, score) of the lattice that end at a place."""
+        found = []
+        for i in range(max(0, end - self.longest), end):
+            arc = self.piece.get(unit[i:end])
+            if arc is not None:
+                found.append((i, *arc))
+        if unit[end - 1] not in self.single:
+            found.append((end - 1, self.unknown(unit[end - 1]), self.unk_score))
+        return found
 
     def unknown(self, char: str) -> tuple[int, ...]:
         """Ids of a character without a piece: its bytes, or the unknown id."""
         low = self.vocab.bytes_from
         return tuple(low + b for b in char.encode("utf-8", "surrogatepass")) if low >= 0 else (self.vocab.unk,)
 
-    @staticmethod
-    def forward(into) -> list[float]:
+    def forward(self, unit: str) -> list[float]:
         """Best score from the start up to each place."""
         best = [0.0]
-        for arcs in into[1:]:
-            best.append(max(best[i] + s for i, _, s in arcs))
+        for end in range(1, len(unit) + 1):
+            best.append(max([best[i] + s for i, _, s in self.arcs(unit, end)]))
         return best
 
     def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of a unit, best first; among equal scores the last ids that differ decide, smaller first."""
-        into = self.arcs(unit)
-        best = self.forward(into)
-        queue = [(-best[-1], (), len(unit), 0.0)]
+        """The ``n`` best (score, ids) of a unit, best first; among equal scores the last ids that differ decide, smaller first.
+
+        ``queue`` holds open segmentations by their ids from the end backward: the first of
+        those with the best score is next, its extensions take its place, and the last of
+        those with the worst score are given up when there are more than can still be found.
+        """
+        best = self.forward(unit)
+        # (score with the estimate, place, score so far, (ids of the last arc, the arcs right of it))
+        queue: list[tuple] = [(best[-1], len(unit), 0.0, None)]
         found: list[tuple[float, tuple[int, ...]]] = []
         while queue and len(found) < n:
-            f, back, at, gone = heapq.heappop(queue)
+            scores = [e[0] for e in queue]
+            k = scores.index(max(scores))
+            _, at, gone, tail = queue.pop(k)
             if at == 0:
-                found.append((gone, back[::-1]))
+                ids: list[int] = []
+                while tail is not None:
+                    ids.extend(tail[0])
+                    tail = tail[1]
+                found.append((gone, tuple(ids)))
                 continue
-            for i, ids, s in into[at]:
-                heapq.heappush(queue, (-(best[i] + gone + s), back + ids[::-1], i, gone + s))
+            more = sorted(self.arcs(unit, at), key=lambda arc: arc[1][::-1])
+            queue[k:k] = [(best[i] + gone + s, i, gone + s, (ids, tail)) for i, ids, s in more]
+            while len(queue) > n - len(found):
+                scores = [e[0] for e in reversed(queue)]
+                queue.pop(-1 - scores.index(min(scores)))
         return found
 
     def viterbi(self, u: str) -> tuple[bytes, float, float]:
@@ -178,18 +195,18 @@ class Segmenter:
         for end, (less, ids, s) in self.finder.iter(u) if fast else ():
             i = end - less
             end += 1
-            x, y, b = best[i] + s, second[i] + s, best[end]
+            x, b = best[i] + s, best[end]
             if x > b:
-                if b > y:
-                    y = b
+                # What was best, or the runner-up of where the arc begins; runners-up never lead.
+                y = second[i] + s
+                second[end] = y if y > b else b
                 best[end], back[end] = x, (i, ids)
-            else:
-                if x > y:
-                    y = x
+            elif x > second[end]:
+                second[end] = x
                 if x == b and ids < back[end][1]:
                     back[end] = (i, ids)
-            if y > second[end]:
-                second[end] = y
+            elif x == b and ids < back[end][1]:
+                back[end] = (i, ids)
         for i in range(0 if fast else n):
             first, other, node, single = best[i], second[i], root, False
             for j in range(i, n):
@@ -233,6 +250,8 @@ class Segmenter:
 
     def split(self, word: str) -> list[str]:
         """Units of a word: cut where letters end or begin, if no piece holds the two characters there."""
+        if word[1:].isalnum() and (word[0].isalnum() or word[:2] in self.inside):
+            return [word]
         cuts = [k for k in map(_AT, self.borders(word)) if 0 < k < len(word) and word[k - 1 : k + 1] not in self.inside]
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
@@ -240,8 +259,8 @@ class Segmenter:
         """Packed ids, score and the loss of the second best (infinite if there is none) of a word or unit."""
         units = self.split(word)
         if len(units) == 1:
-            return self.viterbi(word)
-        parts = [self.known[u] for u in units]
+            return self.unit[word] if word in self.unit else self.viterbi(word)
+        parts = [self.unit[u] for u in units]
         return b"".join([p[0] for p in parts]), sum(p[1] for p in parts), min(p[2] for p in parts)
 
     def encode(self, text: str) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
@@ -249,39 +268,53 @@ class Segmenter:
         if not text:
             return np.empty(0, dtype=np.int32), 0.0, []
         words = self.words.findall((SPACE if self.vocab.dummy_prefix else "") + text.replace(" ", SPACE))
-        known = self.known
-        got = [known[w] for w in words]
-        ids = np.frombuffer(b"".join([g[0] for g in got]), dtype=np.int32)
-        score = float(sum([g[1] for g in got]))
-        return ids, score, self.alternatives(words, got, score) if self.n > 1 else []
-
-    def alternatives(self, words, got, score):
+        packed, scores, losses = zip(*map(self.known.__getitem__, words))
+        ids = np.frombuffer(b"".join(packed), dtype=np.int32)
+        score = float(sum(scores))
+        return ids, score, self.alternatives(words, packed, losses, score) if self.n > 1 else []
+
+    def ranked(self, unit: str) -> list[tuple[float, int, int, list[int]]]:
+        """The N best of a unit as (score, from, to, ids): what stands instead of the best ids from one place to another."""
+        (top, first), *rest = self.search(unit, self.n)
+        out = [(top, 0, 0, [])]
+        for score, ids in rest:
+            low, high, most = 0, 0, min(len(first), len(ids))
+            while low < most and first[low] == ids[low]:
+                low += 1
+            while high < most - low and first[-1 - high] == ids[-1 - high]:
+                high += 1
+            out.append((score, low, len(first) - high, list(ids[low : len(ids) - high])))
+        return out
+
+    def alternatives(self, words, packed, losses, score):
         more = self.n - 1
-        loss = np.array([g[2] for g in got])
+        loss = np.array(losses)
         if len(loss) > more:
             limit = np.partition(loss, more - 1)[more - 1]
-            chosen = np.flatnonzero(loss < limit)
-            chosen = np.sort(np.concatenate([chosen, np.flatnonzero(loss == limit)[: more - len(chosen)]]))
+            chosen = np.flatnonzero(loss <= limit)
+            if len(chosen) > more:
+                low = chosen[loss[chosen] < limit]
+                chosen = np.sort(np.concatenate([low, chosen[loss[chosen] == limit][: more - len(low)]]))
         else:
             chosen = np.arange(len(loss))
-        starts = np.concatenate([[0], np.cumsum([len(g[0]) // 4 for g in got])])
-        slots = []  # (first id's place, its number of ids, the N best of the unit)
-        for k in chosen[np.isfinite(loss[chosen])]:
-            at = int(starts[k])
+        slots, at, done = [], 0, 0  # a slot: the place of its first id, the N best of the unit
+        for k in chosen[np.isfinite(loss[chosen])].tolist():
+            at, done = at + sum(map(len, packed[done:k])) // 4, k
+            place = at
             for u in self.split(words[k]):
-                packed, _, second = self.known[u]
+                ids, _, second = self.unit[u]
                 if second < float("inf"):
-                    slots.append((at, len(packed) // 4, self.best_of[u]))
-                at += len(packed) // 4
+                    slots.append((place, self.best_of[u]))
+                place += len(ids) // 4
         # The same search over choices: a state is a rank for each slot, its successors lower one rank.
         queue, seen, out = [(0.0, (0,) * len(slots))], set(), []
         while queue and len(out) <= more:
             lost, ranks = heapq.heappop(queue)
             out.append((score - lost, [
-                (at, at + size, list(best[r][1])) for (at, size, best), r in zip(slots, ranks) if r
+                (at + best[r][1], at + best[r][2], best[r][3]) for (at, best), r in zip(slots, ranks) if r
             ]))
             for k, r in enumerate(ranks):
-                best = slots[k][2]
+                best = slots[k][1]
                 if r + 1 < len(best):
                     nxt = (*ranks[:k], r + 1, *ranks[k + 1 :])
                     if nxt not in seen:
@@ -291,21 +324,15 @@ class Segmenter:
 
     def decode(self, ids) -> str:
         """Text of ids; runs of byte pieces are read as UTF-8, the dummy prefix goes. Ids out of range raise."""
-        low, out, text = self.vocab.bytes_from, self.out, []
         ids = np.asarray(ids, dtype=np.int64)
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(out)):
+        if not len(ids):
+            return ""
+        if ids.min() < 0 or ids.max() >= len(self.out):
             raise ValueError("id out of range")
-        if low >= 0:
-            is_byte = (ids >= low) & (ids < low + 256)
-            edges = np.flatnonzero(np.diff(is_byte.astype(np.int8), prepend=0, append=0))
-            done = 0
-            for i, j in zip(edges[::2], edges[1::2]):
-                text.extend([out[k] for k in ids[done:i].tolist()])
-                text.append(bytes((ids[i:j] - low).astype(np.uint8)).decode("utf-8", "replace"))
-                done = j
-            ids = ids[done:]
-        text.extend([out[k] for k in ids.tolist()])
-        whole = "".join(text)
+        # The cells of an Arrow column lie one behind the other, so their bytes are the text's.
+        _, ends, cells = self.out.take(pa.array(ids)).buffers()
+        size = int(np.frombuffer(ends, dtype=np.int64)[len(ids)])
+        whole = cells.to_pybytes()[:size].decode("utf-8", "replace") if size else ""
         return whole[1:] if self.vocab.dummy_prefix and whole.startswith(" ") else whole
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -57,6 +58,35 @@ def test_against_all_segmentations(n):
             assert s.decode(x) == text
 
 
+def test_ties_against_all_segmentations():
+    """Pieces of one score each: many segmentations are equally good, and ids alone decide."""
+    base = small()
+    vocab = Pieces(base.pieces, (0.0,) * 257 + (-1.0,) * (len(base.pieces) - 257), 1, 0, base.usable)
+    s, rng = Segmenter(vocab, 6), random.Random(8)
+    for _ in range(100):
+        text = SPACE + "".join(rng.choices("abcé", weights=[5, 5, 5, 1], k=rng.randrange(1, 11)))
+        assert s.search(text, 6) == every(vocab, text, s.unk_score)[:6]
+
+
+def test_a_very_long_word():
+    s, word = Segmenter(load_pieces(), 4), "ab" * 100_000
+    ids, score, more = s.encode(word)
+    assert len(more) == 3 and s.decode(ids) == word
+    assert all(s.decode(apply_spans(list(ids), spans)) == word for _, spans in more)
+    # Alternatives hold what differs, not the whole word again.
+    assert all(len(new) < 100 for _, spans in more for _, _, new in spans)
+    assert np.all(np.diff([score, *[x for x, _ in more]]) <= 0)
+
+
+def test_memory_of_a_long_run():
+    s = Segmenter(load_pieces(), 4)
+    tracemalloc.start()
+    s.encode("-" * 8_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6
+
+
 def test_against_the_library_as_unigram_model():
     sp = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
