@@ -250,8 +250,12 @@ class Segmenter:
 
     def split(self, word: str) -> list[str]:
         """Units of a word: cut where letters end or begin, if no piece holds the two characters there."""
-        if word[1:].isalnum() and (word[0].isalnum() or word[:2] in self.inside):
-            return [word]
+        # Most words are letters behind a space, with one sign after them or none.
+        if len(word) > 2 and word[1:-1].isalnum() and (word[0].isalnum() or word[:2] in self.inside):
+            last = word[-1]
+            whole = last.isalnum() or last != "_" and word[-2:] in self.inside
+            if whole or last != "_":
+                return [word] if whole else [word[:-1], last]
         cuts = [k for k in map(_AT, self.borders(word)) if 0 < k < len(word) and word[k - 1 : k + 1] not in self.inside]
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
@@ -261,6 +265,9 @@ class Segmenter:
         if len(units) == 1:
             return self.unit[word] if word in self.unit else self.viterbi(word)
         parts = [self.unit[u] for u in units]
+        if len(parts) == 2:
+            (ids, score, loss), (more, other, least) = parts
+            return ids + more, score + other, loss if loss < least else least
         return b"".join([p[0] for p in parts]), sum(p[1] for p in parts), min(p[2] for p in parts)
 
     def encode(self, text: str) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
