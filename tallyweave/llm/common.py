@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(df: DataFrame, *names: str, keep: Iterable[str] = ()) -> list[str]:
+    """A helper column's name for each of ``names`` that neither ``df`` nor ``keep`` has, in whatever case."""
+    taken, out = {c.lower() for c in (*df.columns, *keep)}, []
+    for name in names:
+        new = f"__{name}"
+        while new.lower() in taken:
+            new += "_"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of ``text`` in UTF-8. ``bytes.split`` cuts at the same six characters as ``WORD``."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

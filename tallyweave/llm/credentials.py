@@ -4,13 +4,16 @@ Three kinds of span are reported wherever they stand: assignments of passwords
 and the like, access key ids, and long hexadecimal runs. The method adds weak
 candidates: opaque tokens that say nothing by themselves. They are joined over
 intervals with what would make them a credential, an access identifier or an
-endpoint in the same scope and within ``reach``; only those with such a partner
-are reported. Scopes end at blank lines. The user info and the query values of an
+endpoint in the same scope; only those with such a partner are reported. Scopes
+end at blank lines. The user info and the query values of an
 endpoint are candidates too, and the endpoint around them is their partner; the
 rest of an endpoint, its path among it, and the value of an identifier are none.
 
-The parts of a credential stand in one text, so the join runs inside the row,
-over arrays ordered by place: nothing is shuffled, and no key can be hot.
+The parts of a credential stand in one text, so the join runs inside the row:
+nothing is shuffled, and no key can be hot. Candidates and what they are held
+against lie in one array ordered by place, in which a running maximum tells each
+candidate the nearest partner or scope end, or how far the spans before it
+reach. So a text of n spans takes n log n steps, not n times n.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyweave.llm.common import fresh_names
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
@@ -37,12 +42,16 @@ KINDS = ("assign", "access", "hex", "weak")
 SPANS = "array<struct<start: int, kind: int, end: int>>"
 
 
+_BOUND = 9
+_LEAST = -(2**62)
+
+
 @dataclass(frozen=True)
 class Linking:
     """``reach``: most characters between a weak candidate and its partner; None: the whole scope. ``variety``:
     least number of different characters of an opaque token, which also needs a digit and a letter."""
 
-    reach: int | None = 400
+    reach: int | None = None
     variety: int = 10
 
 
@@ -50,6 +59,19 @@ def _none() -> Column:
     return F.array().cast(SPANS)
 
 
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, both) -> Column:
+    """``both`` folded over each prefix of an array of longs, by doubling: n log n steps."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), rounds), lambda j: F.pow(F.lit(2.0), j).cast("int"))
+    over = lambda acc, step: F.transform(acc, lambda x, i: F.coalesce(both(x, F.get(acc, i - step)), x))
+    return F.aggregate(steps, values, over)
+
+
 def spans(text: Column, pattern: str, kind: int, ok=None, group: int = 0, tail: bool = False) -> Column:
     """Leftmost non-overlapping matches as ``SPANS``, in code points; ``ok`` takes the match's ``group``.
 
@@ -58,23 +80,90 @@ def spans(text: Column, pattern: str, kind: int, ok=None, group: int = 0, tail:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    sizes = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda p: F.length(p))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
-
-    def add(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        first = end - F.length(x["value"]) if tail else begin
-        span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        more = F.concat(acc["out"], F.array(span))
-        return F.struct(end.alias("at"), (F.when(ok(x["value"]), more).otherwise(acc["out"]) if ok else more).alias("out"))
-
-    zipped = F.zip_with(F.zip_with(gaps, sizes, lambda g, s: F.struct(g.alias("gap"), s.alias("size"))), value,
-                        lambda a, v: F.struct(a["gap"].alias("gap"), a["size"].alias("size"), v.alias("value")))
-    every = F.aggregate(zipped, start, add, lambda acc: acc["out"])
+    pieces = F.split(text, pattern, -1)
+
+    def placed(sizes: Column) -> Column:
+        ends = running(F.zip_with(F.slice(pieces, F.lit(1), F.size(sizes)), sizes, lambda p, n: F.length(p).cast("long") + n), lambda a, b: a + b)
+        return F.zip_with(F.zip_with(ends, sizes, lambda e, n: F.struct(e.cast("int").alias("end"), n.cast("int").alias("size"))), value, one)
+
+    def one(a: Column, v: Column) -> Column:
+        first = a["end"] - (F.length(v) if tail else a["size"])
+        good = ok(v) if ok else F.lit(True)
+        return F.struct(first.alias("start"), F.lit(kind).alias("kind"), a["end"].alias("end"), good.alias("ok"))
+
+    every = _named(F.transform(found, lambda m: F.length(m).cast("long")), placed)
     # Most texts have no match: one search decides, the rest is not evaluated.
-    return F.when(text.rlike(pattern), every).otherwise(_none())
+    return F.when(text.rlike(pattern), plain(F.filter(every, lambda s: s["ok"]))).otherwise(_none())
+
+
+def plain(found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
+def marked(found: Column, ok: bool = False) -> Column:
+    """Spans with a mark ``ok`` that the tests below may set."""
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(ok).alias("ok")))
+
+
+def _against(cands: Column, others: Column, key, at, value, hit, ties: bool) -> Column:
+    """Marks candidates for which ``hit(candidate, m)`` holds, where m is the largest ``value`` of the
+    others with ``at`` below the candidate's ``key`` (``ties``: or equal to it)."""
+    of_other = F.transform(others, lambda o: F.struct(
+        at(o).cast("long").alias("pos"), F.lit(0 if ties else 1).alias("turn"), value(o).cast("long").alias("v"),
+        F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("ok"),
+    ))
+    of_cand = F.transform(cands, lambda c: F.struct(
+        key(c).cast("long").alias("pos"), F.lit(1 if ties else 0).alias("turn"), F.lit(_LEAST).cast("long").alias("v"),
+        c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["ok"].alias("ok"),
+    ))
+
+    def tested(events: Column) -> Column:
+        best = running(F.transform(events, lambda e: e["v"]), F.greatest)
+        both = F.zip_with(events, best, lambda e, m: F.struct(
+            e["start"].alias("start"), e["kind"].alias("kind"), e["end"].alias("end"), (e["ok"] | hit(e, m)).alias("ok")
+        ))
+        return F.filter(both, lambda c: c["start"].isNotNull())
+
+    some = (F.size(cands) > 0) & (F.size(others) > 0)
+    return F.when(some, _named(F.array_sort(F.concat(of_other, of_cand)), tested)).otherwise(cands)
+
+
+def meeting(cands: Column, others: Column) -> Column:
+    """Marks candidates that share a character with one of the others."""
+    return _against(cands, others, lambda c: c["end"], lambda o: o["start"], lambda o: o["end"], lambda c, m: m > c["start"], False)
+
+
+def inside(cands: Column, others: Column) -> Column:
+    """Marks candidates that lie within one of the others, behind its first character."""
+    return _against(cands, others, lambda c: c["start"], lambda o: o["start"], lambda o: o["end"], lambda c, m: m >= c["end"], False)
+
+
+def joined(cands: Column, partners: Column, bounds: Column, reach: int | None) -> Column:
+    """Marks candidates with a partner apart from them, in reach, with no scope end between.
+
+    Seen from either side, the nearest partner or scope end decides: no partner
+    behind a scope end counts, and one farther off than the nearest is no nearer.
+    Doubled places tell partners (odd) from scope ends (even).
+    """
+    others = F.concat(partners, bounds)
+    for key, at in ((lambda c: c["start"], lambda o: o["end"]), (lambda c: -c["end"], lambda o: -o["start"])):
+        def value(o: Column, at=at) -> Column:
+            return at(o).cast("long") * 2 + (o["kind"] != _BOUND).cast("long")
+
+        def hit(c: Column, m: Column, key=key) -> Column:
+            near = F.lit(True) if reach is None else key(c) - F.shiftright(m, 1) <= reach
+            return (m.bitwiseAND(F.lit(1).cast("long")) == 1) & near
+
+        cands = _against(cands, others, key, at, value, hit, True)
+    return cands
+
+
+def _left(cands: Column) -> Column:
+    return plain(F.filter(cands, lambda c: ~c["ok"]))
+
+
+def _hit(cands: Column) -> Column:
+    return plain(F.filter(cands, lambda c: c["ok"]))
 
 
 def written(found: Column) -> Column:
@@ -90,51 +179,43 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "secrets", linking:
     ``base``: assign, access and hex spans by (start, kind). ``weak``: opaque
     tokens, apart from base spans, that have a partner; of a secret field or a part
     of an endpoint only the value. ``parts``: identifiers and endpoints, as (start, end). ``linked``: base spans with a partner. A null
-    text counts as empty; rows depend on their own text alone; a column of the
-    name ``into`` is replaced.
+    text counts as empty. Very long texts are read whole. Rows, repeated ones too, depend on their own text alone;
+    an empty table gives an empty one. A column of the name ``into`` is replaced, all others stay, whatever their names.
     """
-    own = ["__t", "__base", "__ident", "__end", "__bound", "__inline", "__field", "__weak", "__partner"]
-    t = F.col("__t")
-    base = F.array_sort(F.concat(
-        spans(t, ASSIGN, 0, lambda v: F.length(v) >= 8, 2), spans(t, ACCESS, 1), spans(t, HEX, 2),
-    ))
-    out = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    out = out.withColumns({"__base": base, "__ident": spans(t, IDENTIFIER, 4), "__end": spans(t, ENDPOINT, 5)})
-    partner = F.array_sort(F.concat(F.filter("__base", lambda s: s["kind"] == 1), F.col("__ident"), F.col("__end")))
-    out = out.withColumn("__partner", partner)
-    some = F.size("__partner") > 0
+    names = fresh_names(docs, "t", "base", "ident", "end", "partner", "inline", "field", "opaque", "bound", "weak", "linked", keep=[into])
+    t, base, ident, end, partner, inline, field, opaque, bound, weak, linked = (F.col(n) for n in names)
+    n_t, n_base, n_ident, n_end, n_partner, n_inline, n_field, n_opaque, n_bound, n_weak, n_linked = names
+    out = docs.withColumn(n_t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    out = out.withColumns({
+        n_base: F.array_sort(F.concat(spans(t, ASSIGN, 0, lambda v: F.length(v) >= 8, 2), spans(t, ACCESS, 1), spans(t, HEX, 2))),
+        n_ident: spans(t, IDENTIFIER, 4), n_end: spans(t, ENDPOINT, 5),
+    })
+    out = out.withColumn(n_partner, F.array_sort(F.concat(F.filter(base, lambda s: s["kind"] == 1), ident, end)))
+    some = F.size(partner) > 0
     varied = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= linking.variety)
-    meeting = lambda s, *of: F.exists(F.concat(*of), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    inside = lambda s: F.exists("__end", lambda e: (e["start"] < s["start"]) & (s["end"] <= e["end"]))
+    query = _hit(inside(marked(spans(t, QUERY, 3, varied, 1, True)), end))
     out = out.withColumns({
-        "__inline": F.when(F.size("__end") > 0, F.concat(
-            spans(t, USER, 3, varied, 1, True), spans(t, PASSWORD, 3, varied, 1, True),
-            F.filter(spans(t, QUERY, 3, varied, 1, True), lambda s: inside(s) & ~meeting(s, "__ident")),
+        n_inline: F.when(F.size(end) > 0, F.concat(
+            spans(t, USER, 3, varied, 1, True), spans(t, PASSWORD, 3, varied, 1, True), _left(meeting(marked(query), ident)),
         )).otherwise(_none()),
-        "__field": F.when(some, spans(t, SECRET, 3, varied, 1, True)).otherwise(_none()),
-        "__weak": F.when(some, spans(t, OPAQUE, 3, varied)).otherwise(_none()),
-        "__bound": F.when(some, spans(t, SCOPE_END, 9)).otherwise(_none()),
+        n_field: F.when(some, spans(t, SECRET, 3, varied, 1, True)).otherwise(_none()),
+        n_opaque: F.when(some, spans(t, OPAQUE, 3, varied)).otherwise(_none()),
+        n_bound: F.when(some, spans(t, SCOPE_END, _BOUND)).otherwise(_none()),
+    })
+    loose = F.concat(
+        _left(meeting(marked(field), F.concat(base, ident, inline, end))),
+        _left(meeting(marked(opaque), F.concat(base, ident, end, field))),
+    )
+    assigned = F.filter(base, lambda s: s["kind"] != 1)
+    out = out.withColumns({
+        n_weak: F.when(some, F.array_sort(F.concat(
+            _left(meeting(marked(inline), base)), _hit(joined(marked(loose), partner, bound, linking.reach)),
+        ))).otherwise(_none()),
+        n_linked: F.when(some, F.array_sort(_hit(joined(inside(marked(assigned), end), partner, bound, linking.reach)))).otherwise(_none()),
     })
-
-    def joined(s: Column) -> Column:
-        """True if an endpoint is around it, or a partner in reach and no scope ends between."""
-
-        def meets(p: Column) -> Column:
-            low, high = F.least(s["end"], p["end"]), F.greatest(s["start"], p["start"])
-            near = F.lit(True) if linking.reach is None else high - low <= linking.reach
-            return near & ~F.exists("__bound", lambda b: (b["start"] >= low) & (b["end"] <= high))
-
-        apart = lambda p: (p["end"] <= s["start"]) | (s["end"] <= p["start"])
-        return inside(s) | F.exists("__partner", lambda p: apart(p) & meets(p))
-
-    weak = F.array_sort(F.concat(
-        F.filter("__inline", lambda s: ~meeting(s, "__base")),
-        F.filter("__field", lambda s: ~meeting(s, "__base", "__ident", "__inline", "__end") & joined(s)),
-        F.filter("__weak", lambda s: ~meeting(s, "__base", "__ident", "__end", "__field") & joined(s)),
-    ))
     result = F.struct(
-        F.col("__base").alias("base"), weak.alias("weak"),
-        F.transform("__partner", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("parts"),
-        F.filter("__base", lambda s: (s["kind"] != 1) & joined(s)).alias("linked"),
+        base.alias("base"), weak.alias("weak"),
+        F.transform(partner, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("parts"),
+        linked.alias("linked"),
     )
-    return out.withColumn(into, result).drop(*own)
+    return out.withColumn(into, result).drop(*names)
