@@ -264,7 +264,8 @@ class Segmenter:
         units = self.split(word)
         if len(units) == 1:
             return self.unit[word] if word in self.unit else self.viterbi(word)
-        parts = [self.unit[u] for u in units]
+        # A unit may have been met as a word of its own.
+        parts = [self.known.get(u) or self.unit[u] for u in units]
         if len(parts) == 2:
             (ids, score, loss), (more, other, least) = parts
             return ids + more, score + other, loss if loss < least else least
