@@ -1,14 +1,19 @@
 """Numbered tables recovered from word positions.
 
-Words of a page become visual lines by a fold inside the page's row (the anchor of
-a line is its first word, which no window frame expresses). Everything after
+Words of a page become visual lines inside the page's row (the anchor of a line
+is its first word, which no window frame expresses; a small helper finds the
+next anchor by binary search). Everything after
 that is joins and prefix counts: the header in force, the cell of each word, and
 which row a loose narration belongs to.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from bisect import bisect_right
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyweave.functions.dates import month_name_date
 from tallyweave.operators.ordered import HOT_ROWS, exclusive_prefix
@@ -27,33 +32,38 @@ NOISE = (
 _CELLS = {"#": "c0", "DATE": "c1", "NARRATION": "c2", "DEBIT": "c3", "CREDIT": "c4", "BALANCE": "c5"}
 
 
+def line_starts(tops: Sequence[float], reach: float) -> list[int]:
+    """Where lines begin among sorted ``tops``: each at the first word that lies more than ``reach`` below the line's first."""
+    out, at = [], 0
+    while at < len(tops):
+        out.append(at)
+        first = tops[at]
+        at = bisect_right(tops, reach, lo=at + 1, key=lambda t: t - first)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _line_starts(tops: pd.Series, reach: pd.Series) -> pd.Series:
+    return pd.Series([line_starts(t, r) for t, r in zip(tops, reach)], dtype=object)
+
+
 def page_lines(words: DataFrame) -> DataFrame:
     """Words -> visual lines of a page, each sorted left to right: ``file, page, line_no, words``.
 
     A line reaches as far as half the page's median word height from its first
-    word. A page bounds the group, and it is worked on inside its row.
+    word. A page bounds the group, and it is worked on inside its row: its words are
+    sorted once, and each line is looked up once and cut out. Words without a place are left out.
     """
     word = F.struct("top", "x0", "text", "x1", "bottom")
-    pages = words.groupBy("file", "page").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    pages = words.filter(F.col("top").isNotNull()).groupBy("file", "page").agg(F.array_sort(F.collect_list(word)).alias("ws"))
     heights = F.array_sort(F.transform("ws", lambda w: w["bottom"] - w["top"]))
     middle = F.get(heights, F.floor(F.size("ws") / 2).cast("int"))
     reach = F.greatest(F.lit(2.0), F.when(middle == 0, F.lit(7.0)).otherwise(middle) * 0.5)
-    # What stays the same for a page is carried in the fold, not looked up per word.
-    start = F.struct(reach.alias("reach"), F.array(F.get(F.col("ws"), F.lit(0))["top"]).alias("tops"))
-    folded = F.aggregate(
-        "ws", start,
-        lambda acc, w: F.struct(
-            acc["reach"].alias("reach"),
-            F.when(w["top"] - F.element_at(acc["tops"], -1) > acc["reach"], F.concat(acc["tops"], F.array(w["top"])))
-            .otherwise(acc["tops"]).alias("tops"),
-        ),
-        lambda acc: acc["tops"],
-    )
-    pages = pages.withColumn("tops", folded)
-    spans = F.zip_with("tops", F.slice("tops", 2, F.size("tops")), lambda a, b: F.struct(a.alias("top"), b.alias("below")))
+    pages = pages.withColumn("starts", _line_starts(F.transform("ws", lambda w: w["top"]), reach))
+    spans = F.zip_with("starts", F.slice("starts", 2, F.size("starts")), lambda a, b: F.struct(a.alias("at"), F.coalesce(b, F.size("ws")).alias("end")))
 
     def line(span: Column) -> Column:
-        own = F.filter("ws", lambda w: (w["top"] >= span["top"]) & (span["below"].isNull() | (w["top"] < span["below"])))
+        own = F.slice(F.col("ws"), span["at"] + 1, span["end"] - span["at"])
         by_x = F.array_sort(F.transform(own, lambda w: F.struct(w["x0"].alias("x0"), w["top"].alias("top"), w["text"].alias("text"), w["x1"].alias("x1"))))
         return F.transform(by_x, lambda w: F.struct(w["text"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -191,6 +192,24 @@ def test_positioned_table(spark, hot_rows):
     assert [(r["#"], r.NARRATION, r.DEBIT) for r in raw] == [("1", "early pay more", ""), ("2", "nomoney lead", ""), ("3", "x", "4.00"), ("4", "y", "6.00")]
 
 
+def test_lines_of_crowded_and_large_pages(spark):
+    rng = random.Random(5)
+    rows = [("crowded", k % 3, f"w{k}", rng.choice([1.0, 2.0, 50.0]), 60.0, round(rng.uniform(0, 400), 1)) for k in range(900)]
+    rows += [("large", 1, f"w{k}", float(k % 4), 9.0, float(k // 4 * 20)) for k in range(40_000)] + [("none", 1, "x", 1.0, 2.0, None)]
+    df = spark.createDataFrame([(*r, None if r[5] is None else r[5] + 8.0) for r in rows], "file string, page int, text string, x0 double, x1 double, top double, bottom double")
+    got = {(r.file, r.page, r.line_no): [w.text for w in r.words] for r in positioned.page_lines(df.repartition(4)).collect()}
+    want = {}
+    for file, page in {r[:2] for r in rows if r[5] is not None}:
+        line_no, first, line = -1, None, []
+        for r in sorted((r for r in rows if r[:2] == (file, page)), key=lambda r: (r[5], r[3], r[2])):
+            if first is None or r[5] - first > 4.0:
+                line_no, first, line = line_no + 1, r[5], []
+                want[file, page, line_no] = line
+            line.append((r[3], r[5], r[2]))
+    assert got == {k: [t for _, _, t in sorted(v)] for k, v in want.items()}
+    assert sum(k[0] == "large" for k in got) == 10_000
+
+
 def test_tables_across_pages_are_stitched(spark):
     cells = [("f", 0, 0, ["Starting Balance", "1"]), ("f", 1, 0, ["Date", "", "Amount"]), ("f", 1, 1, ["d1", "a", "1"]), ("f", 1, 2, ["", "", ""]),
              ("f", 2, 0, ["Date", "", "Amount"]), ("f", 2, 1, ["d2", "b", "2", "extra"]), ("f", 3, 0, ["d3", "c", "3"])]
