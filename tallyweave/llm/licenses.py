@@ -1,22 +1,22 @@
 """License scan: a trained paragraph classifier, confirmed by templates.
 
 A paragraph (a line) becomes a sparse vector of word n-grams. A multinomial
-logistic regression, trained on windows of the templates and on paragraphs of
-the documents as the class ``unknown``, says which family of licenses it is of.
+logistic regression, trained on windows of the templates and on all paragraphs
+of the documents as the class ``unknown``, says which family of licenses it is of.
 The unknown class is calibrated: a prediction counts only if its probability
 passes what held-out unknown paragraphs reach. A comparison with the templates
-of the predicted family then confirms it or not.
+of the predicted family then confirms it or not. Counts, classifier and threshold
+come from every paragraph; none of them is sampled.
 
 Only n-grams of paragraphs with an anchor are features: anchors are the words of
 the templates that ordinary paragraphs hardly have, and the names of licenses.
 Paragraphs that resemble a template are not counted as ordinary, so a corpus full
-of notices keeps its anchors. A paragraph without one is unknown by definition,
-and a search for anchors leaves few to classify.
+of notices keeps its anchors. A paragraph without one has no features and is
+unknown by definition, in training as in the scan, so few are left to classify.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -24,7 +24,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyweave.llm.common import fresh_names, lowest, row_key
+from tallyweave.llm.common import fresh_names, row_key
 from tallyweave.session import settle
 
 # The wording of public licenses and of their usual notices.
@@ -73,9 +73,9 @@ NAMES = ("gnu", "mozilla", "bsd-style")
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the unknown paragraphs that are learned from, a third of which calibrate."""
+    """``unknown`` is what all unknown paragraphs together weigh at most beside the templates' windows, of weight 1 each."""
 
-    sample: int = 3000
+    unknown: float = 2000.0
     features: int = 4096
     window: int = 5
     anchor_share: float = 0.002
@@ -109,8 +109,8 @@ def ngrams(w: Column) -> Column:
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, no, w``: the words of each line that has any, lines numbered from 0."""
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("no", "line"))
-    return lines.select(key, "no", words(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    # Cut before the rows are made: a filter on ``w`` would otherwise cut each line again.
+    return docs.select(key, F.posexplode(F.transform(F.split(F.col(text), "\n", -1), words)).alias("no", "w")).filter(F.size("w") > 0)
 
 
 def _vectors(rows: DataFrame, s: Settings) -> DataFrame:
@@ -124,29 +124,26 @@ def _template_rows(spark: SparkSession, templates) -> DataFrame:
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, settings: Settings = Settings()) -> Model:
-    """Train on ``templates`` and on a bounded sample of ``docs``' paragraphs.
+    """Train on ``templates`` and on every paragraph of ``docs``.
 
-    The sample takes one paragraph from each of the first documents by hash of
-    their id; paragraphs that hold most of a template are no examples of unknown.
+    Paragraphs that hold most of a template are no examples of unknown. Those of
+    a third of the documents, by hash of their id, calibrate the threshold; the
+    others are learned from. Two passes over ``docs``: words are counted, then
+    paragraphs with an anchor are written and learned from. Those without have no
+    features, so one row without words stands for them with all their weight.
     """
     s, spark = settings, docs.sparkSession
     known = settle(_template_rows(spark, templates))
     families = ("unknown", *sorted({f for f, _ in templates}))
-    t = F.col(f"`{text}`")
-    picked = docs.filter(t.isNotNull()).select(F.xxhash64(F.col(f"`{doc_id}`").cast("string")).alias("h"), F.xxhash64(t).alias("h2"), t.alias("text"))
-    picked = picked.select("h", "h2", F.split("text", "\n", -1).alias("lines"))
-    line = F.get("lines", F.pmod(F.col("h2"), F.size("lines")).cast("int"))
-    picked = picked.select("h", "h2", line.alias("line"))
-    picked = lowest(picked, F.col("h"), s.sample, docs.count()).orderBy("h", "h2").limit(s.sample)
-    sample = settle(picked.select("h", "h2", words(F.col("line")).alias("w")).filter(F.size("w") > 0))
-    vocabulary = [r[0] for r in known.select(F.explode("w")).distinct().collect()]  # the templates' words, a constant set
-    like = _alike(sample, known, s, F.lit(True))
-    unknown = settle(sample.join(like.select("h", "h2").distinct(), ["h", "h2"], "left_anti"))
-    n = max(1, unknown.count())
-    usual = {
-        r.x for r in unknown.select(F.explode(F.array_distinct("w")).alias("x")).filter(F.col("x").isin(vocabulary)).groupBy("x").count()
-        .filter(F.col("count") > max(2, s.anchor_share * n)).collect()
-    }
+    vocabulary = sorted(r[0] for r in known.select(F.explode("w")).distinct().collect())  # the templates' words, a constant set
+    third = F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("string")), F.lit(3)) == 0
+    lines = paragraphs(docs.select(third.alias("held"), F.col(f"`{text}`").alias("t")), "held", "t")
+    lines = lines.select("held", "w", F.filter("w", lambda x: x.isin(vocabulary)).alias("u")).withColumn("v", F.array_distinct("u"))
+    # How many unknown paragraphs hold each word; no word is "", which counts the paragraphs themselves.
+    each = _ordinary(lines, known, s).select("held", F.explode(F.concat(F.array(F.lit("")), "v")).alias("x"))
+    counts = {r.x: r for r in each.groupBy("x").agg(F.count("*").alias("n"), F.count_if("held").alias("held")).collect()}
+    n, n_held = (counts[""].n, counts[""].held) if counts else (0, 0)
+    usual = {x for x, r in counts.items() if r.n > max(2, s.anchor_share * n)}
     # However many notices the documents hold, also in other words than the templates', these stay anchors.
     always = {w for w in vocabulary if "licens" in w or w in families or w in NAMES}
     anchors = tuple(sorted(w for w in vocabulary if w in always or (w not in usual and len(w) > 1 and not w.isdigit())))
@@ -159,16 +156,22 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", template
     # A piece that two families share says nothing about either; it is unknown.
     shared = pieces.filter(anchored).groupBy("w").agg(F.count_distinct("family").alias("k"), F.min("family").alias("family"))
     good = shared.select("w", F.when(F.col("k") == 1, number).otherwise(0).cast("double").alias("label"))
-    held = F.pmod("h", F.lit(3)) == 0
-    rows = good.withColumn("weight", F.lit(1.0)).unionByName(unknown.filter(~held).select("w", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight")))
+    # All unknown paragraphs with an anchor: no others are ever classified.
+    unknown = settle(_ordinary(lines.filter(F.arrays_overlap("v", F.array(*[F.lit(a) for a in anchors]))), known, s).select("held", "w"))
+    seen = unknown.agg(F.count("*").alias("n"), F.count_if("held").alias("held")).first()
+    share = min(1.0, s.unknown / max(1, n - n_held))
+    rows = good.withColumn("weight", F.lit(1.0)).unionByName(unknown.filter(~F.col("held")).select("w", F.lit(0.0).alias("label"), F.lit(share).alias("weight")))
     # An empty table leaves no unknown paragraph; one without words stands for them.
     rows = rows.unionByName(known.limit(1).select(F.array().cast("array<string>").alias("w"), F.lit(0.0).alias("label"), F.lit(5.0).alias("weight")))
     data = settle(_vectors(rows, s).select("x", "label", "weight"))
     classifier = LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=s.ridge, maxIter=s.iterations, standardization=False
     ).fit(data)
-    top = _predict(_vectors(unknown.filter(held), s), classifier)
-    got = top.agg(F.percentile("family_p", F.lit(s.quantile))).first()[0]
+    # Probabilities of six decimals, so that few values are left to rank however many paragraphs there are.
+    p = F.floor(F.col("family_p") * 1_000_000) / 1_000_000
+    top = _predict(_vectors(unknown.filter("held"), s), classifier).select(F.when(p >= s.least_probability, p).otherwise(0.0).alias("p")).groupBy("p").count()
+    top = top.unionByName(spark.range(1).select(F.lit(0.0).alias("p"), F.lit(n_held - seen.held).cast("long").alias("count")))
+    got = top.agg(F.percentile("p", F.lit(s.quantile), F.col("count"))).first()[0]
     return Model(classifier, families, anchors, max(s.least_probability, got or 0.0), s, tuple(templates))
 
 
@@ -180,6 +183,28 @@ def _predict(vectors: DataFrame, classifier: LogisticRegressionModel) -> DataFra
     return out.drop("x", "g", "rawPrediction", "probability", "prediction", "p")
 
 
+def _fits(rg: Column, tg: Column, s: Settings) -> Column:
+    """Whether n-grams ``rg`` of a paragraph hold most of a template's ``tg``, or are most of them."""
+    common = F.size(F.array_intersect(rg, tg))
+    return (common >= s.confirm * F.size(tg)) | ((F.size(rg) >= 2 * s.window - 1) & (common >= s.confirm * F.size(rg)))
+
+
+def _ordinary(lines: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """``lines`` (words ``w``, those of templates ``u``, each once ``v``) that fit no template.
+
+    The templates are a constant table, so they are broadcast. N-grams are compared
+    only where words allow it: common pairs begin at common words, so there are at
+    most as many as these words have places, in the template or in the paragraph.
+    """
+    t = known.select(F.array_distinct("w").alias("tw"), F.array_distinct(ngrams(F.col("w"))).alias("tg"), F.size("w").alias("tn"))
+    t = t.select("tw", "tg", (s.confirm * F.size("tg") - (F.col("tn") - F.size("tw"))).alias("least"))
+    # A paragraph of k different words has k - 1 different pairs or more.
+    mostly = F.size("v") + F.size("u") >= s.confirm * (2 * F.size(F.array_distinct("w")) - 1)
+    r = lines.withColumn("mostly", (F.size("v") > 0) & mostly).withColumn("rg", F.when(F.size("v") > 0, F.array_distinct(ngrams(F.col("w")))))
+    enough = (2 * F.size("v") >= F.col("least")) & (2 * F.size(F.array_intersect("v", "tw")) >= F.col("least"))
+    return r.join(F.broadcast(t), (F.col("mostly") | enough) & _fits(F.col("rg"), F.col("tg"), s), "left_anti").drop("mostly", "rg")
+
+
 def _alike(rows: DataFrame, known: DataFrame, s: Settings, on: Column) -> DataFrame:
     """``rows`` (with ``w``) joined with the templates (family ``tf``) that meet ``on`` and that they hold most of, or are most of.
 
@@ -187,18 +212,13 @@ def _alike(rows: DataFrame, known: DataFrame, s: Settings, on: Column) -> DataFr
     """
     t = known.select(F.col("family").alias("tf"), "template", F.array_distinct(ngrams(F.col("w"))).alias("tg"))
     r = rows.withColumn("rg", F.array_distinct(ngrams(F.col("w"))))
-    common = F.size(F.array_intersect("rg", "tg"))
-    fits = (common >= s.confirm * F.size("tg")) | ((F.size("rg") >= 2 * s.window - 1) & (common >= s.confirm * F.size("rg")))
-    return r.join(F.broadcast(t), on & fits).drop("rg", "tg")
+    return r.join(F.broadcast(t), on & _fits(F.col("rg"), F.col("tg"), s)).drop("rg", "tg")
 
 
 def findings(docs: DataFrame, model: Model, *, key: str, text: str) -> DataFrame:
     """``key, no, family, probability, confirmed``: the paragraphs of a known family; ``key`` names a row."""
     s, spark = model.settings, docs.sparkSession
-    # A text without any anchor has no paragraph with one.
-    any_anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in model.anchors) + r")(?![a-z0-9])"
-    some = docs.filter(F.col(text).rlike(any_anchor))
-    lines = paragraphs(some, key, text).filter(F.arrays_overlap("w", F.array(*[F.lit(a) for a in model.anchors])))
+    lines = paragraphs(docs, key, text).filter(F.arrays_overlap("w", F.array(*[F.lit(a) for a in model.anchors])))
     names = F.array(*[F.lit(f) for f in model.families])
     said = _predict(_vectors(lines, s), model.classifier).filter(F.col("family_p") >= F.lit(model.threshold))
     said = settle(said.select(key, "no", "w", F.element_at(names, F.col("best") + 1).alias("family"), F.round("family_p", 6).alias("probability")))

@@ -110,3 +110,48 @@ def test_helper_names_leave_columns_alone(odd):
     clash = odd.withColumns({c: F.lit(c) for c in ("__license_rk", "__found", "t", "no")})
     out = licenses.scan(clash, licenses.fit(odd))
     assert out.columns == clash.columns + ["licenses"] and out.filter("`__found` = '__found' AND t = 't'").count() == odd.count()
+
+
+def plain_alike(model, line_words):
+    grams = lambda w: set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+    s, own = model.settings, grams(line_words)
+    for _, t in model.templates:
+        whole = grams(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()))
+        n = len(own & whole)
+        if n >= s.confirm * len(whole) or (len(own) >= 2 * s.window - 1 and n >= s.confirm * len(own)):
+            return True
+    return False
+
+
+def test_counts_and_threshold_come_from_every_paragraph(spark):
+    rng = random.Random(9)
+    prose = ["river", "stone", "window", "garden", "evening", "letter", "road", "the", "of", "a", "and", "with"]
+    usual = ["hereby", "conditions", "the software is provided"]
+    rows = []
+    for k in range(40):
+        lines = [" ".join(rng.choices(prose, k=9)) for _ in range(30)]
+        # Usual words late in long documents, and lines near templates beside them.
+        lines += [f"{rng.choice(usual)} {' '.join(rng.choices(prose, k=5))}" for _ in range(10)] if k < 4 else []
+        lines += ["he has a license to sell the garden"] * (k % 5 == 0) + [licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1]]
+        lines += ["copies or substantial portions of the Software and the river", "", "?"]
+        rows.append((k, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.fit(df)
+    s, vocabulary = model.settings, {w for _, t in model.templates for w in re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())}
+    cut = [(k, re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", line.lower())) for k, text in rows for line in text.split("\n")]
+    unknown = [(k, w) for k, w in cut if w and not plain_alike(model, w)]
+    assert len(unknown) < sum(bool(w) for _, w in cut) - 40
+    held = {w: sum(w in words for _, words in unknown) for w in vocabulary}
+    limit = max(2, s.anchor_share * len(unknown))
+    always = {w for w in vocabulary if "licens" in w or w in model.families or w in licenses.NAMES}
+    want = {w for w in vocabulary if w in always or (held[w] <= limit and len(w) > 1 and not w.isdigit())}
+    # Counted over one line of each document, words usual here were anchors ("software" and "to" among them).
+    assert set(model.anchors) == want and not {"hereby", "conditions"} & want and "license" in want
+    # The threshold is the quantile over all held-out unknown paragraphs, those without an anchor at 0.
+    third = {r.doc_id for r in df.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(3)) == 0).collect()}
+    text = [" ".join(w) for k, w in unknown if k in third]
+    places, ps = {}, []
+    loose = licenses.Model(model.classifier, model.families, model.anchors, 0.0, s, model.templates)
+    for t in text:
+        ps += [x[2] for x in plain_scan(loose, t, places)] or [0.0]
+    assert len(ps) == len(text) and abs(model.threshold - max(s.least_probability, np.quantile(ps, s.quantile))) < 2e-5
