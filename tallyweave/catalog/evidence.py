@@ -164,7 +164,8 @@ ENTRIES["stmt_closing_balance"] = Entry(
     sql("SELECT file, CASE WHEN max(layout_no) <> 1 THEN CAST(arg_max(balance, n) AS DOUBLE) END AS closing_balance FROM statement_lines WHERE layout_no <> 3 GROUP BY file"),
 )
 ENTRIES["stmt_table_balance"] = Entry(
-    lambda s, d: normalize.closing_balance(view(s, d, "statement_export").withColumnRenamed("Running Balance", "balance").withColumn("seq", F.col("seq") * 1000000000000 + F.abs(plain_number(F.col("balance")) * 100).cast("long"))),
+    # The order of rows outgrows 64 bits once part keys reach a million.
+    lambda s, d: normalize.closing_balance(view(s, d, "statement_export").withColumnRenamed("Running Balance", "balance").withColumn("seq", F.col("seq").cast("decimal(19,0)") * F.lit(1000000000000).cast("decimal(13,0)") + F.abs(plain_number(F.col("balance")) * 100).cast("long"))),
     sql("""SELECT account_ref, CAST(arg_max(b, seq * 1000000000000 + abs(CAST(round(CAST(b AS DOUBLE) * 100) AS BIGINT))) AS DOUBLE) AS closing_balance FROM (SELECT account_ref, seq, "Running Balance" AS b FROM statement_export) x GROUP BY account_ref"""),
 )
 
