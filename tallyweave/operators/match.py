@@ -9,67 +9,152 @@ rounds finds it with joins alone: no row order is walked and no group gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyweave.functions.text import normalize_value
 from tallyweave.operators.ordered import HOT_ROWS, exclusive_prefix
-from tallyweave.session import cut
-
-
-#: Length of the stretches of text that needles and hays meet on.
-GRAM = 4
-
-
-def _grams(text: Column, size: int) -> Column:
-    """Hashes of the distinct stretches of ``size`` characters, in time linear in the text.
-
-    A text is cut into characters once: finding the n-th character of a string
-    takes n steps, of an array one.
+from tallyweave.session import settle, sweep
+
+#: The bitmaps of a search have at most 2 ** FILTER_BITS bits each: 16 MB, which is all that is sent to tasks.
+FILTER_BITS = 27
+#: Characters that a task hashes at once.
+AT_ONCE = 1 << 20
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A table of the rounds, compressed and column-pruned, without its lineage."""
+    return settle(df)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """One 64-bit hash of two."""
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x7F4A7C159E3779B9))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _levels(codes: np.ndarray, sizes: Sequence[int]):
+    """``size, h`` for powers of two: ``h[p]`` is the hash of ``size`` characters from ``p``, made of two halves."""
+    h, size = _mixed(codes.astype(np.uint64), 1), 1
+    for wanted in sorted(sizes):
+        while size < wanted:
+            h, size = _mixed(h[:-size], h[size:]), 2 * size
+        yield size, h
+
+
+def _codes(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one, its characters, and where each text begins and ends."""
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    whole = "".join(texts)
+    return whole, np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
+
+def _batches(texts: Sequence[str]):
+    """Runs of texts of about ``AT_ONCE`` characters."""
+    at, held = 0, 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > AT_ONCE:
+            yield texts[at:k]
+            at, held = k, 0
+        held += len(t)
+    if at < len(texts):
+        yield texts[at:]
+
+
+def _size_of(length: int) -> int:
+    """The largest power of two within a length: a text of that length is told by its first and its last so many characters."""
+    return 1 << (length.bit_length() - 1)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType())])))
+def _marks(needles: pd.Series) -> pd.Series:
+    """Of a text that is not empty: the hash of its beginning (kind 0) and of the whole of it (kind 1)."""
+    out = []
+    for some in _batches([str(n) for n in needles]):
+        _, codes, starts, ends = _codes(some)
+        length = ends - starts
+        size = np.array([_size_of(int(n)) for n in length], dtype=np.int64)
+        marks = np.zeros((len(some), 2), dtype=np.uint64)
+        for k, h in _levels(codes, np.unique(size).tolist()):
+            own = np.flatnonzero(size == k)
+            first, last = h[starts[own]], h[ends[own] - k]
+            marks[own, 0] = _mixed(first, k)
+            marks[own, 1] = _mixed(_mixed(first, last), length[own].astype(np.uint64))
+        out += [[(0, a), (1, b)] for a, b in marks.view(np.int64).tolist()]
+    return pd.Series(out, dtype=object)
+
+
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the bitmap; none that is in it is missed."""
+    at = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def _found(texts: Sequence[str], lengths: dict[int, list[int]], begins: np.ndarray, wholes: np.ndarray) -> list[list[str]]:
+    """Distinct stretches of each text, shorter than it, that may be a needle."""
+    whole, codes, starts, ends = _codes(texts)
+    row = np.repeat(np.arange(len(texts)), ends - starts)
+    end, length = ends[row], (ends - starts)[row]
+    found: list[set[str]] = [set() for _ in texts]
+    for k, h in _levels(codes, [k for k in lengths if k <= len(codes)]):
+        # Most places end here: no needle begins so.
+        at = np.flatnonzero(_held(begins, _mixed(h, k)))
+        at = at[at + k <= end[at]]
+        for n in lengths[k]:
+            p = at[(at + n <= end[at]) & (length[at] > n)]
+            p = p[_held(wholes, _mixed(_mixed(h[p], h[p + n - k]), np.uint64(n)))]
+            for r, q in zip(row[p].tolist(), p.tolist()):
+                found[r].add(whole[q : q + n])
+    return [list(f) for f in found]
+
+
+def _finder(needles: DataFrame, column: str):
+    """A function of a text column: the distinct stretches, shorter than the text, that may be one of ``needles``.
+
+    No needle in the text is missed; a few stretches are none, so callers join
+    what is found to the needles by equality. ``needles`` is scanned twice.
     """
+    spark, text = needles.sparkSession, needles.select(F.col(column).alias("t")).filter(F.col("t") != "")
+    counts = {r.n: r.c for r in text.groupBy(F.length("t").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    bits = min(FILTER_BITS, max(16, (16 * sum(counts.values())).bit_length()))
+    page = 15  # Spark's bitmaps hold 2 ** 15 bits each
+    maps = np.zeros((2, (1 << bits) // 8), dtype=np.uint8)
+    slot = F.col("m.key").bitwiseAND((1 << bits) - 1)
+    marks = text.select(F.explode(_marks("t")).alias("m")).select(
+        "m.kind", F.shiftright(slot, page).alias("page"), slot.bitwiseAND((1 << page) - 1).alias("bit")
+    )
+    for r in marks.groupBy("kind", "page").agg(F.bitmap_construct_agg("bit").alias("b")).toLocalIterator():
+        maps[r.kind, r.page << (page - 3) : (r.page + 1) << (page - 3)] = np.frombuffer(r.b, dtype=np.uint8)
+    lengths: dict[int, list[int]] = {}
+    for n in sorted(counts):
+        lengths.setdefault(_size_of(n), []).append(n)
+    sent = spark.sparkContext.broadcast(maps)
 
-    def of(chars: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(chars) - F.lit(size)), lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(size)]))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def stretches(texts: pd.Series) -> pd.Series:
+        out: list[list[str]] = []
+        for some in _batches([t if isinstance(t, str) else "" for t in texts]):
+            out += _found(some, lengths, *sent.value)
+        return pd.Series(out, dtype=object)
 
-    hashes = F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
-    return F.when(F.length(text) >= size, F.array_distinct(hashes))
+    return stretches
 
 
 def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """``needle, hay_id`` for every distinct ``needle`` inside a longer text of ``hays`` (``hay_id, hay``).
 
-    An inverted index over grams of fixed length: a needle is looked up under
-    the one of its grams that fewest hays hold, and what is found is compared
-    in full. The work is the length of the texts, however many lengths needles have,
-    and the hays that hold a needle's rarest gram. Needles shorter than a
-    gram are looked up whole. ``hay_id`` is unique.
+    Texts are scanned where they lie: a place goes on only where some needle begins
+    so, and is then looked up whole, once per length of such needles, in bitmaps of a fixed size. What is found
+    meets the needles by equality. The work is the length of the texts, and per place where needles begin their
+    lengths; what is shuffled is the pairs themselves. ``hay_id`` is unique.
     """
-    n = needles.select("needle").filter(F.col("needle") != "").distinct()
-    size = F.length("needle")
-    # One row: which of the few lengths below a gram occur.
-    short = n.agg(*[F.max(size == k).alias(str(k)) for k in range(1, GRAM)]).first()
-    sizes = [k for k in range(1, GRAM) if short[str(k)]] + [GRAM]
-
-    def index(df: DataFrame, kept: str, text: str) -> DataFrame:
-        def sized(k: int) -> Column:
-            found = F.coalesce(_grams(F.col(text), k), F.array().cast("array<long>"))
-            return F.transform(found, lambda h: F.struct(F.lit(k).alias("size"), h.alias("h")))
-
-        return df.select(kept, F.explode(F.concat(*map(sized, sizes))).alias("g")).select(kept, "g.size", "g.h")
-
-    own = F.least(F.length("needle"), F.lit(GRAM))
-    asked = index(n, "needle", "needle").filter(F.col("size") == own)
-    held = index(hays.select("hay_id", "hay"), "hay_id", "hay")
-    # Grams that needles ask for, with the number of hays that hold them; none, and the needle is nowhere.
-    wanted = asked.select("size", "h").distinct()
-    held = held.join(wanted, ["size", "h"], "left_semi")
-    common = held.groupBy("size", "h").agg(F.count(F.lit(1)).alias("_hays"))
-    scored = asked.join(common, ["size", "h"], "left").groupBy("needle").agg(
-        F.min(F.struct(F.coalesce("_hays", F.lit(0)).alias("_hays"), "size", "h")).alias("a")
-    )
-    anchors = scored.filter("a._hays > 0").select("needle", "a.size", "a.h")
-    met = held.join(anchors, ["size", "h"]).select("hay_id", "needle")
-    # A gram in common is not yet the needle.
-    return met.join(hays.select("hay_id", "hay"), "hay_id").filter((size < F.length("hay")) & F.contains("hay", "needle")).select("needle", "hay_id")
+    n = settle(needles.select("needle").filter(F.col("needle") != "").distinct())
+    found = hays.select("hay_id", F.explode(_finder(n, "needle")("hay")).alias("needle"))
+    return found.join(n, "needle", "left_semi").select("needle", "hay_id")
 
 
 def _pair_by_rank(left: DataFrame, right: DataFrame, hot_rows: int) -> DataFrame:
@@ -104,6 +189,7 @@ def match(
         pairs = _pair_by_rank(left, right, hot_rows)
     else:
         left, right = cut(left), cut(right)
+        sweep(left.sparkSession)
         pairs = _stable_pairs(left, right, hot_rows)
     named = pairs.join(left.withColumnRenamed("v", "rv"), "r").join(right.withColumnRenamed("v", "iv"), "i")
     equal = F.col("rv") == F.col("iv")
@@ -114,36 +200,35 @@ def match(
     )
 
 
-def candidate_slots(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Independent rows a reported text may take: ``v, i, is_exact``."""
-
-    def texts(df: DataFrame) -> DataFrame:
-        # Fixed once, so the generated ids stay the same wherever they are read.
-        return cut(df.select(F.col("v").alias("hay")).distinct().withColumn("hay_id", F.monotonically_increasing_id()))
-
-    lv, rv = texts(left), texts(right)
-    inner = contained_pairs(lv.select(F.col("hay").alias("needle")), rv).join(rv, "hay_id")
-    outer = contained_pairs(rv.select(F.col("hay").alias("needle")), lv).join(lv, "hay_id")
-    edges = (
-        inner.select(F.col("needle").alias("v"), F.col("hay").alias("w"))
-        .unionByName(outer.select(F.col("hay").alias("v"), F.col("needle").alias("w")))
-        .withColumn("is_exact", F.lit(False))
-        .unionByName(lv.join(rv, "hay").select(F.col("hay").alias("v"), F.col("hay").alias("w"), F.lit(True).alias("is_exact")))
-    )
-    return edges.join(right.withColumnRenamed("v", "w"), "w").select("v", "i", "is_exact")
+def candidate_slots(texts: DataFrame, right: DataFrame) -> DataFrame:
+    """Independent rows (``i, v``) that a reported text (``id, v``) may take: ``id, i, is_exact``."""
+    # Reported texts within independent ones, which are scanned row by row: each row is a slot of its own.
+    inner = right.select("i", F.explode(_finder(texts, "v")("v")).alias("v")).join(texts, "v").select("id", "i", F.lit(False).alias("is_exact"))
+    # Equal texts, and independent ones within reported ones.
+    outer = texts.select("id", F.explode(_finder(right, "v")("v")).alias("v"), F.lit(False).alias("is_exact"))
+    asked = outer.unionByName(texts.withColumn("is_exact", F.lit(True)))
+    return inner.unionByName(asked.join(right, "v").select("id", "i", "is_exact"))
 
 
 def _shared_lists(slots: DataFrame) -> DataFrame:
-    """``v, g``: texts whose lists of slots are equal share the smallest of them as ``g``.
+    """``id, g, _n``: texts whose lists of slots are equal share the smallest of their ids as ``g``; ``_n`` slots are listed.
 
-    Lists are compared by length and two independent sums of hashes, so none is gathered.
+    Lists are compared by length and by independent sums of hashes, so none is gathered.
     """
-    h = F.xxhash64("i", "is_exact")
-    lists = slots.groupBy("v").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(h, F.lit(7))).alias("_x")
+    h, low = F.xxhash64("i", "is_exact"), (1 << 32) - 1
+    lists = slots.groupBy("id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(h.bitwiseAND(low)).alias("_s"), F.sum(F.shiftrightunsigned(h, 32)).alias("_t"),
+        F.bit_xor(F.xxhash64(h, F.lit(7))).alias("_x"),
     )
-    same = ["_n", "_s", "_x"]
-    return lists.join(lists.groupBy(*same).agg(F.min("v").alias("g")), same).select("v", "g")
+    same = ["_n", "_s", "_t", "_x"]
+    return lists.join(lists.groupBy(*same).agg(F.min("id").alias("g")), same).select("id", "g", "_n")
+
+
+def _ranked(df: DataFrame, order: list[Column], most: int, hot_rows: int) -> DataFrame:
+    """Rows of each list by order, with ``rows_before``; ``most`` bounds a list's rows, so they need not be counted every round."""
+    if most > hot_rows:
+        return exclusive_prefix(df, ["g"], order, hot_rows=hot_rows)
+    return df.withColumn("rows_before", F.row_number().over(Window.partitionBy("g").orderBy(*order)) - F.lit(1))
 
 
 def _stable_pairs(left: DataFrame, right: DataFrame, hot_rows: int) -> DataFrame:
@@ -151,31 +236,49 @@ def _stable_pairs(left: DataFrame, right: DataFrame, hot_rows: int) -> DataFrame
     free row goes straight to the k-th slot still open to that list: the slots it
     skips are held by earlier rows and would refuse it. However many rows and
     texts want the same slots, they are served in one round; only lists that
-    overlap in part take turns."""
-    all_slots = cut(candidate_slots(left, right))
+    overlap in part take turns. A slot whose holder comes before every row of a list
+    is closed to it for good, since holders only get earlier, and leaves it; tables of a round that is over go."""
+    spark = left.sparkSession
+    # Fixed once, so the generated ids stay the same wherever they are read.
+    texts = cut(left.select("v").distinct().withColumn("id", F.monotonically_increasing_id()))
+    all_slots = cut(candidate_slots(texts, right))
+    sweep(spark)
     shared = cut(_shared_lists(all_slots))
-    slots = cut(all_slots.join(shared.filter("v = g"), "v", "left_semi"))
-    free = left.join(shared, "v").select("r", F.col("g").alias("v"))
+    free = cut(left.join(texts, "v").join(shared.select("id", "g"), "id").select("r", "g"))
+    most_slots = shared.agg(F.max("_n")).first()[0] or 0
+    most_rows = free.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    begin = free.groupBy("g").agg(F.min("r").alias("begin"))
+    slots = cut(
+        all_slots.join(shared.filter("id = g").select("id", "g"), "id").join(begin, "g")
+        .select("g", "i", "is_exact", "begin", F.lit(None).cast(left.schema["r"].dataType).alias("holder"))
+    )
+    sweep(spark, all_slots, shared, texts)
     held: DataFrame | None = None
     while True:
-        first = free.groupBy("v").agg(F.min("r").alias("first_free"))
-        open_slots = slots.join(first, "v")
-        if held is not None:
-            taken = held.select("i", F.col("r").alias("holder"))
-            open_slots = open_slots.join(taken, "i", "left").filter(
-                F.col("holder").isNull() | (F.col("holder") > F.col("first_free"))
-            )
-        listed = exclusive_prefix(
-            open_slots.select("v", "i", "is_exact"), ["v"], [F.desc("is_exact"), F.col("i")], hot_rows=hot_rows
-        )
-        waiting = exclusive_prefix(free, ["v"], [F.col("r")], hot_rows=hot_rows)
-        offers = cut(waiting.join(listed, ["v", "rows_before"]).select("i", "r", "v"))
+        first = free.groupBy("g").agg(F.min("r").alias("first_free"), F.count(F.lit(1)).alias("rows"))
+        open_slots = slots.join(first, "g").filter(F.col("holder").isNull() | (F.col("holder") > F.col("first_free")))
+        listed = _ranked(open_slots.select("g", "i", "is_exact", "rows"), [F.desc("is_exact"), F.col("i")], most_slots, hot_rows)
+        listed = listed.filter(F.col("rows_before") < F.col("rows")).select("g", "i", "rows_before")
+        waiting = _ranked(free, [F.col("r")], most_rows, hot_rows)
+        offers = cut(waiting.join(listed, ["g", "rows_before"]).select("i", "r", "g"))
         contest = offers if held is None else offers.unionByName(held)
-        held = cut(contest.groupBy("i").agg(F.min_by(F.struct("r", "v"), F.col("r")).alias("w")).select("i", "w.r", "w.v"))
+        now = cut(contest.groupBy("i").agg(F.min_by(F.struct("r", "g"), F.col("r")).alias("w")).select("i", "w.r", "w.g"))
         # Refused and displaced rows try again; a row that found no slot is out for good.
-        free = cut(contest.select("r", "v").distinct().join(held.select("r"), "r", "left_anti"))
+        again = cut(contest.select("r", "g").distinct().join(now.select("r"), "r", "left_anti"))
+        over = [offers, free, *([held] if held is not None else [])]
+        free, held = again, now
         if free.isEmpty():
+            sweep(spark, slots, free, *over)
             return held.select("r", "i")
+        taken = held.select("i", F.col("r").alias("holder"))
+        left_open = cut(
+            slots.drop("holder").join(taken, "i", "left").filter(F.col("holder").isNull() | (F.col("holder") >= F.col("begin")))
+            .select("g", "i", "is_exact", "begin", "holder")
+        )
+        over.append(slots)
+        slots = left_open
+        del first, open_slots, listed, waiting, offers, contest, now, again, taken, left_open
+        sweep(spark, *over)
 
 
 def unmatched(df: DataFrame, pairs: DataFrame, side: str, order: str = "seq") -> DataFrame:

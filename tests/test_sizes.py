@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import os
+import random
 import tempfile
 
+from pyspark.sql import functions as F
+
 from tallyweave.catalog import entries
+from tallyweave.operators import match
+from tallyweave.session import ensure_checkpoint_dir
 
 _DAY = datetime.datetime(1996, 9, 13)
 
@@ -25,3 +31,34 @@ def test_table_balance_of_part_keys_above_a_million(spark):
     rows = [(1, 1_199_999, 2, 10.0, "N"), (1, 1_199_999, 1, 5.5, "N"), (1, 7, 1, 1.0, "R"), (2, 1_000_000, 1, 3.25, "R")]
     got = {r.account_ref: r.closing_balance for r in entries()["stmt_table_balance"].run(spark, _lineitem(spark, rows)).collect()}
     assert got == {"order-1": 14.5, "order-2": -3.25}
+
+
+def test_search_gives_little_more_than_the_pairs(spark):
+    rnd = random.Random(5)
+    names = [f"collections:{rnd.randrange(10 ** rnd.randrange(1, 7))}" for _ in range(1500)]
+    needles = sorted({n[rnd.randrange(len(n) - 1) :] for n in names[:700]} | set(names[:700]) | {"ü", "ns:1", "a" * 70, "𝄞x"})
+    hays = [f"transfer for {n} thanks" for n in names] + ["", "ü", "çü", "b" + "a" * 71, "a" * 70, " 𝄞x𝄞"]
+    want = sorted((n, k) for k, h in enumerate(hays) for n in needles if n in h and n != h)
+    n = spark.createDataFrame([(x,) for x in [*needles, needles[0], "", None]], "needle string").repartition(3)
+    h = spark.createDataFrame([*enumerate(hays), (len(hays), None)], "hay_id long, hay string").repartition(3)
+    assert sorted((r.needle, r.hay_id) for r in match.contained_pairs(n, h).collect()) == want
+    # Four common characters made a row each before: some 20 times the pairs.
+    assert h.select(F.explode(match._finder(n, "needle")("hay"))).count() < 1.1 * len(want)
+
+
+def test_bitmaps_that_are_full_miss_nothing_and_add_nothing(spark, monkeypatch):
+    monkeypatch.setattr(match, "FILTER_BITS", 16)
+    n = spark.range(60_000).select(F.concat(F.lit("no "), F.col("id")).alias("needle"))
+    h = spark.range(500).select(F.col("id").alias("hay_id"), F.concat(F.lit("paid no "), F.col("id") * 100, F.lit(" today")).alias("hay"))
+    got = {(r.needle, r.hay_id) for r in match.contained_pairs(n, h).collect()}
+    assert got == {(f"no {str(k * 100)[:m]}", k) for k in range(500) for m in range(1, len(str(k * 100)) + 1)}
+
+
+def test_rounds_leave_their_last_tables_only(spark):
+    a = spark.createDataFrame([(k, f"fee {k % 7}") for k in range(40)], "seq long, description string")
+    b = spark.createDataFrame([(k, f"fee {k % 5} {k}") for k in range(40)] + [(k, f"fee {k % 3}") for k in range(40, 60)], "seq long, description string")
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert match.match(a, b).count() > 0
+    # Two sides and the pairs; six tables for each round before.
+    assert len(set(os.listdir(folder)) - before) <= 3
