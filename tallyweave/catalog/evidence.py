@@ -8,7 +8,7 @@ from tallyweave.catalog.base import Entry, bank, money, rates, sql, tape_events
 from tallyweave.catalog.views import load, view
 from tallyweave.functions.money import plain_number
 from tallyweave.operators import aggregate, cashmap, fx, match, normalize, positioned, statements
-from tallyweave.session import settle
+from tallyweave.session import settle, sweep
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -76,8 +76,10 @@ ENTRIES["match_unmatched"] = Entry(
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
-    r, i = _reported(s, d), _independent(s, d)
-    out = match.report(r, i, settle(match.match(r, i)))
+    r, i = settle(_reported(s, d)), settle(_independent(s, d))
+    pairs = settle(match.match(r, i))
+    sweep(s)
+    out = match.report(r, i, pairs)
     return out.select(F.col("Status").alias("status"), F.col("Match key").alias("match_key"), F.col("`Reported: seq`").alias("reported_seq"), F.col("`Independent: seq`").alias("independent_seq"))
 
 
