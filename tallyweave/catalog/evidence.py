@@ -63,8 +63,9 @@ ENTRIES["match_partial"] = Entry(lambda s, d: match.match(_reported(s, d), _inde
 
 
 def _unmatched(s: SparkSession, d: str) -> DataFrame:
-    r, i = _reported(s, d), _independent(s, d)
+    r, i = settle(_reported(s, d)), settle(_independent(s, d))
     pairs = settle(match.match(r, i))
+    sweep(s)
     side = lambda df, name: match.unmatched(df, pairs, name).select(F.lit(name).alias("side"), "seq")
     return side(r, "reported").unionByName(side(i, "independent"))
 
