@@ -12,7 +12,7 @@ from tallyweave.config import TapeColumns
 from tallyweave.functions import dates, money as money_fn, text
 from tallyweave.operators import audit, fx, grids, normalize, registry_json, statements
 from tallyweave.operators.rules.single import roundness
-from tallyweave.session import ensure_checkpoint_dir
+from tallyweave.session import ensure_checkpoint_dir, settle, sweep
 from tallyweave.sources import loading, tables
 
 ENTRIES: dict[str, Entry] = {}
@@ -40,7 +40,8 @@ ENTRIES["src_borrowers"] = Entry(
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
     """Statement exports as grids: a title row, a blank row, the header, then the data; one per order."""
-    rows = view(spark, sf, "statement_export")
+    rows = settle(view(spark, sf, "statement_export"))
+    sweep(spark)
     data = rows.select(
         F.col("account_ref").alias("file"), (F.row_number().over(_per_file()) + 2).cast("long").alias("seq"),
         F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in _GRID]).alias("cells"),
@@ -80,7 +81,8 @@ ENTRIES["src_grid_header"] = Entry(
 
 def _stitched(spark: SparkSession, sf: str) -> DataFrame:
     """Each export cut in two tables, the header repeated, behind a summary table without rows."""
-    g = _grid(spark, sf).filter(F.col("seq") >= 2)
+    g = settle(_grid(spark, sf).filter(F.col("seq") >= 2))
+    sweep(spark)
     parts = g.withColumn("table_no", F.when((F.col("seq") > 4), 2).otherwise(1))
     late = parts.filter(F.col("table_no") == 2).select("file", "table_no").distinct()
     repeated = late.select("file", "table_no", F.lit(2).cast("long").alias("seq"), F.array(*[F.lit(c) for c in _GRID]).alias("cells"))
@@ -90,6 +92,8 @@ def _stitched(spark: SparkSession, sf: str) -> DataFrame:
     numbered = parts.unionByName(repeated).unionByName(summary).withColumn(
         "row_no", F.row_number().over(Window.partitionBy("file", "table_no").orderBy("seq")) - 1
     )
+    numbered = settle(numbered)
+    sweep(spark, g)
     t = grids.stitch(numbered)
     value = lambda name: F.get(F.filter("row", lambda p: p["column"] == name), F.lit(0))["value"]
     return t.select("file", value("Transaction Code").alias("code"), value("Running Balance").alias("balance"))

@@ -75,10 +75,10 @@ def stitch(tables: DataFrame) -> DataFrame:
     word and a row beneath it fixes the header; repeats of a header at the top of
     later tables and blank rows go; unnamed columns are 'Column i'.
     """
-    sized = tables.groupBy("file", "table_no").agg(
-        F.count(F.lit(1)).alias("rows"), F.min_by("cells", "row_no").alias("top")
-    )
-    chosen = sized.filter(looks_like_header(F.col("top")) & (F.col("rows") >= 2)).groupBy("file").agg(
+    # Cells go along only with the rows that may be a header, so the others are counted as numbers.
+    sized = tables.groupBy("file", "table_no").agg(F.count(F.lit(1)).alias("rows"), F.min("row_no").alias("row_no"))
+    named = tables.filter(looks_like_header(F.col("cells"))).select("file", "table_no", "row_no", F.col("cells").alias("top"))
+    chosen = named.join(sized.filter(F.col("rows") >= 2), ["file", "table_no", "row_no"]).groupBy("file").agg(
         F.min_by(F.struct("table_no", "top"), F.col("table_no")).alias("_c")
     )
     blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""

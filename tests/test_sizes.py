@@ -5,14 +5,17 @@ from __future__ import annotations
 import datetime
 import os
 import random
+import re
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.catalog import entries
-from tallyweave.operators import match
+from tallyweave.operators import grids, match
 from tallyweave.session import ensure_checkpoint_dir
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 _DAY = datetime.datetime(1996, 9, 13)
 
 
@@ -62,3 +65,20 @@ def test_rounds_leave_their_last_tables_only(spark):
     assert match.match(a, b).count() > 0
     # Two sides and the pairs; six tables for each round before.
     assert len(set(os.listdir(folder)) - before) <= 3
+
+
+@pytest.mark.parametrize("name", ["src_table_stitch", "stmt_summaries"])
+def test_statements_are_built_once(spark, name):
+    # Their rows were computed anew wherever a step read them: up to twelve times.
+    df = entries()[name].run(spark, SF)
+    assert df.count() > 0 and not [f for f in df.inputFiles() if "lineitem" in f]
+
+
+def test_stitching_carries_cells_of_headers_only(spark):
+    rows = [("f", 1, 1, ["2024", "5"]), ("f", 1, 0, ["Date", " Amount "]), ("f", 0, 0, ["Balance"]), ("f", 2, 0, ["Date", "Amount"]), ("f", 2, 1, ["2025", ""]), ("g", 0, 0, ["x"]), ("g", 0, 1, ["Date"])]
+    t = spark.createDataFrame(rows, "file string, table_no int, row_no int, cells array<string>")
+    df = grids.stitch(t)
+    assert sorted((r.table_no, [(p.column, p.value) for p in r.row]) for r in df.collect()) == [(1, [("Date", "2024"), ("Amount", "5")]), (2, [("Date", "2025"), ("Amount", "")])]
+    # What is counted per table is told by numbers: no sort of whole rows.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^]]*table_no[^]]*\], \[[^\n]*cells", plan)
