@@ -284,9 +284,12 @@ ENTRIES["cashmap_candidates"] = Entry(
 
 def _summaries(s: SparkSession, d: str) -> DataFrame:
     """Every statement text: parsed rows in base currency, its own shape, and the accounts of its borrower's cash map. Some bank rows name no account."""
-    texts = _texts(s, d)
+    # Written once: the texts are read seven times below, shapes and rows twice.
+    texts = settle(_texts(s, d))
     key = F.regexp_extract("file", r"(\d+)", 1).cast("long")
-    shapes, parsed = statements.shape(texts), statements.parse(texts)
+    shapes = settle(statements.shape(texts).select("account_ref", "layout", "bank", "account_no", "currency"))
+    parsed = settle(statements.parse(texts).select("file", "line_no", "borrower", "account_ref", "currency", "amount", "direction", "balance"))
+    sweep(s)
     stamped = normalize.stamp_currency(parsed, shapes.select("account_ref", "currency"))
     loose = bank(s, d).filter(F.col("account_ref") == "")
     rows = fx.convert(normalize.combine(stamped, loose), rates(s, d))
