@@ -191,7 +191,8 @@ _X = {"#": (10.0, 20.0), "DATE": (40.0, 70.0), "NARRATION": (120.0, 190.0), "DEB
 
 def _words(s: SparkSession, d: str) -> DataFrame:
     """Statements of orders as words on a page: a title, the header, per line a leading narration, the row, a trailing narration, a footer."""
-    m = view(s, d, "statement_lines").select(
+    # The words of a file lie together; dates are spelled out afterwards.
+    m = view(s, d, "statement_lines").select("file", "n", "direction", "money", "balance_text", "day").repartition("file").select(
         "file", "n", "direction", "money", "balance_text", F.date_format("day", "MMMM").alias("mon"), F.date_format("day", "d").alias("dd"), F.date_format("day", "yyyy").alias("yy"),
     )
 
@@ -210,8 +211,8 @@ def _words(s: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit(k).alias("text"), F.lit(a).alias("x0"), F.lit(b).alias("x1"), F.lit(60.0).alias("top"), F.lit(68.0).alias("bottom")) for k, (a, b) in _X.items()
     ])
     foot = F.array(word(F.lit("Page"), 10.0, F.lit(100000)), word(F.lit("1"), 40.0, F.lit(100000)), word(F.lit("of"), 60.0, F.lit(100000)), word(F.lit("1"), 80.0, F.lit(100000)))
-    files = m.select("file").distinct()
-    every = files.select("file", F.inline(heads)).unionByName(files.select("file", F.inline(foot))).unionByName(m.select("file", F.inline(per_row)))
+    # The first line of a file brings what its page has once.
+    every = m.select("file", F.inline(F.when(F.col("n") == 1, F.concat(heads, foot, per_row)).otherwise(per_row)))
     return every.withColumn("page", F.lit(1))
 
 

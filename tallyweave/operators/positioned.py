@@ -4,7 +4,8 @@ Words of a page become visual lines inside the page's row (the anchor of a line
 is its first word, which no window frame expresses; a small helper finds the
 next anchor by binary search). Everything after
 that is joins and prefix counts: the header in force, the cell of each word, and
-which row a loose narration belongs to.
+which row a loose narration belongs to. For files that fit in a task these are
+windows over one layout by file, so words are shuffled once and written nowhere.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from bisect import bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyweave.functions.dates import month_name_date
 from tallyweave.operators.ordered import HOT_ROWS, exclusive_prefix
 from tallyweave.operators.statements import NUMBER, TABLE_WORDS, number_of
 from tallyweave.schema import DIR_IN, DIR_OUT
-from tallyweave.session import settle
+from tallyweave.session import settle, sweep
 
 # Generator and footer lines.
 NOISE = (
@@ -93,6 +94,15 @@ def _marked_lines(lines: DataFrame) -> DataFrame:
     return marked.withColumn("borders", F.when(is_header, F.array(*borders))).drop("ups", *[f"p{k}" for k in range(last + 1)])
 
 
+def _cell(k: int) -> Column:
+    """Texts of a line's words between the borders ``edges`` of column ``k``."""
+    inf = F.lit(float("inf"))
+    lo = F.element_at("edges", k) if k > 0 else -inf
+    hi = F.element_at("edges", k + 1) if k < len(TABLE_WORDS) - 1 else inf
+    inside = F.filter("words", lambda w: (w["x0"] >= lo) & (w["x0"] < hi))
+    return F.transform(inside, lambda w: w["text"])
+
+
 def _cells(lines: DataFrame, hot_rows: int) -> DataFrame:
     """Lines under a header, cut into cells, with the block they are in."""
     order = [F.col("page"), F.col("line_no")]
@@ -108,15 +118,10 @@ def _cells(lines: DataFrame, hot_rows: int) -> DataFrame:
         F.col("is_header_before").cast("long").alias("header_no"), F.col("is_break_before").cast("long").alias("block"),
     )
     placed = body.join(headers, ["file", "header_no"])
-    inf = F.lit(float("inf"))
+    return _with_events(placed.select("file", "at", "block", *[_cell(k).alias(f"c{k}") for k in range(len(TABLE_WORDS))]))
 
-    def cell(k: int) -> Column:
-        lo = F.element_at("edges", k) if k > 0 else -inf
-        hi = F.element_at("edges", k + 1) if k < len(TABLE_WORDS) - 1 else inf
-        inside = F.filter("words", lambda w: (w["x0"] >= lo) & (w["x0"] < hi))
-        return F.transform(inside, lambda w: w["text"])
 
-    cells = placed.select("file", "at", "block", *[cell(k).alias(f"c{k}") for k in range(len(TABLE_WORDS))])
+def _with_events(cells: DataFrame) -> DataFrame:
     number = F.array_join("c0", "")
     return cells.withColumn("row_no", number).withColumn(
         "is_event", (number.rlike(r"^\d+$") & (F.array_join("c1", "") != "")).cast("int")
@@ -153,12 +158,52 @@ def _assembled(cells: DataFrame, valid: Column, hot_rows: int) -> DataFrame:
     return rows.join(told, ["file", "block", "row_id"], "left").withColumn("description", F.coalesce(F.col("description"), F.lit("")))
 
 
+def _assembled_by_file(lines: DataFrame, money: dict[str, Column], valid: Column) -> DataFrame:
+    """As :func:`_assembled` of :func:`_cells`, for files that each fit in a task: one layout by file serves every step."""
+    before = Window.partitionBy("file").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    is_header = F.col("borders").isNotNull()
+    is_break = F.col("is_noise") | is_header
+    # A table has the one header in force; what stands above the first is none of it.
+    under = lines.filter(F.col("file").isNotNull()).select(
+        "file", "page", "line_no", is_break.alias("is_break"), F.when(~is_break, F.col("words")).alias("words"),
+        F.last("borders", ignorenulls=True).over(before).alias("edges"),
+        F.coalesce(F.sum(is_break.cast("int")).over(before), F.lit(0).cast("long")).alias("block"),
+    )
+    body = under.filter(~F.col("is_break") & F.col("edges").isNotNull())
+    cells = _with_events(body.select("file", "page", "line_no", "block", *[_cell(k).alias(f"c{k}") for k in range(len(TABLE_WORDS))]))
+    c = cells.withColumns(money).withColumn("is_valid", ((F.col("is_event") == 1) & valid).cast("int"))
+    event = F.when(F.col("is_event") == 1, F.struct("block", "is_valid"))
+    c = c.withColumn("v", F.coalesce(F.sum("is_valid").over(before), F.lit(0).cast("long"))).withColumn("event", F.last(event, ignorenulls=True).over(before))
+    follows = F.coalesce((F.col("event.block") == F.col("block")) & (F.col("event.is_valid") == 1), F.lit(False))
+    shown = [*[f"c{k}" for k in range(len(TABLE_WORDS)) if k != 2], "row_no", *money]
+    parts = c.filter((F.col("is_event") == 0) | (F.col("is_valid") == 1)).select(
+        "file", "block", F.when((F.col("is_event") == 0) & follows, F.col("v")).otherwise(F.col("v") + 1).alias("row_id"),
+        F.when(F.col("is_valid") == 1, F.struct(*shown)).alias("row"),
+        F.struct("page", "line_no", F.trim(F.array_join("c2", " ")).alias("part")).alias("told"),
+    ).filter(F.col("row").isNotNull() | (F.col("told.part") != ""))
+    # The group is the narration of one transaction; without a row of its own block it is nobody's.
+    told = F.filter(F.transform(F.array_sort(F.collect_list("told")), lambda p: p["part"]), lambda p: p != "")
+    rows = parts.groupBy("file", "block", "row_id").agg(F.first("row", ignorenulls=True).alias("row"), F.array_join(told, " ").alias("description"))
+    return rows.filter(F.col("row").isNotNull()).select("file", "block", "row_id", "row.*", "description")
+
+
+def _rows(words: DataFrame, money: dict[str, Column], valid: Column, hot_rows: int) -> DataFrame:
+    """Table rows of every file; those of more than ``hot_rows`` words are shared by many tasks."""
+    hot = words.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("file")
+    hot = settle(hot)
+    sweep(words.sparkSession)
+    if hot.isEmpty():
+        return _assembled_by_file(_marked_lines(page_lines(words)), money, valid)
+    cold = _assembled_by_file(_marked_lines(page_lines(words.join(hot, "file", "left_anti"))), money, valid)
+    spread = settle(_marked_lines(page_lines(words.join(hot, "file", "left_semi"))).drop("line"))
+    large = _assembled(_cells(spread, hot_rows).withColumns(money), valid, hot_rows)
+    return cold.unionByName(large.select(*cold.columns))
+
+
 def table_rows(words: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Canonical rows of numbered tables, with ``balance``; a credit is read before a debit."""
-    cells = _cells(settle(_marked_lines(page_lines(words))), hot_rows).withColumns(
-        {"debit": _first_money(F.col("c3")), "credit": _first_money(F.col("c4")), "balance": _first_money(F.col("c5"))}
-    )
-    rows = _assembled(cells, F.col("credit").isNotNull() | F.col("debit").isNotNull(), hot_rows)
+    money = {"debit": _first_money(F.col("c3")), "credit": _first_money(F.col("c4")), "balance": _first_money(F.col("c5"))}
+    rows = _rows(words, money, F.col("credit").isNotNull() | F.col("debit").isNotNull(), hot_rows)
     out = rows.select(
         F.concat(F.lit("bank:"), F.col("file"), F.lit(":"), F.col("row_id").cast("string")).alias("key"),
         F.lit("bank").alias("sheet"), F.lit("bank").alias("source_type"),
@@ -173,8 +218,7 @@ def table_rows(words: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def raw_table(words: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same tables under their own header names, rows without money included."""
-    cells = _cells(settle(_marked_lines(page_lines(words))), hot_rows)
-    rows = _assembled(cells, F.lit(True), hot_rows)
+    rows = _rows(words, {}, F.lit(True), hot_rows)
     own = [F.trim(F.array_join(c, " ")).alias(name) for name, c in _CELLS.items() if name not in ("#", "NARRATION")]
     return rows.select("file", F.col("row_id").alias("seq"), F.col("row_no").alias("#"), own[0],
                        F.col("description").alias("NARRATION"), *own[1:])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.catalog import entries
-from tallyweave.operators import grids, match
+from tallyweave.operators import grids, match, positioned
 from tallyweave.session import ensure_checkpoint_dir
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -82,3 +82,23 @@ def test_stitching_carries_cells_of_headers_only(spark):
     # What is counted per table is told by numbers: no sort of whole rows.
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[[^]]*table_no[^]]*\], \[[^\n]*cells", plan)
+
+
+def test_words_are_written_nowhere(spark):
+    rnd, words = random.Random(3), []
+    heads = [("#", 10.0), ("DATE", 40.0), ("NARRATION", 120.0), ("DEBIT", 300.0), ("CREDIT", 400.0), ("BALANCE", 500.0)]
+    lines = [heads, [("Page", 10.0), ("2", 40.0), ("of", 60.0), ("3", 80.0)], [("loose", 121.0), ("words", 150.0)], [("x", 12.0), ("rest", 122.0)],
+             [("1", 12.0), ("May", 40.0), ("4", 58.0), ("2024", 72.0), ("pay", 121.0), ("-", 310.0), ("5.00", 410.0), ("9.00", 510.0)],
+             [("2", 12.0), ("May", 40.0), ("5", 58.0), ("2024", 72.0), ("3.00", 310.0), ("6.00", 510.0)], [("3", 12.0), ("June", 40.0), ("without", 121.0), ("money", 150.0)]]
+    for file in ("a", "b", "c", None):
+        for page in range(1, 4):
+            for k in range(14):
+                for text, x0 in rnd.choice(lines):
+                    words.append((file, page, text, x0, x0 + 20.0, 20.0 * k, 20.0 * k + 8.0))
+    rnd.shuffle(words)
+    df = spark.createDataFrame(words, "file string, page int, text string, x0 double, x1 double, top double, bottom double")
+    for rows in (positioned.table_rows, positioned.raw_table):
+        whole, spread = rows(df), rows(df, hot_rows=10)
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, spread.collect())) and whole.count() > 20
+        # Lines and cells were both settled before, and shuffled four times.
+        assert not [f for f in whole.inputFiles() if "settled-" in f]
