@@ -102,3 +102,9 @@ def test_words_are_written_nowhere(spark):
         assert sorted(map(repr, whole.collect())) == sorted(map(repr, spread.collect())) and whole.count() > 20
         # Lines and cells were both settled before, and shuffled four times.
         assert not [f for f in whole.inputFiles() if "settled-" in f]
+
+
+def test_texts_that_share_an_id_meet_each_other(spark):
+    h = spark.createDataFrame([("a", "at bank x"), ("a", "at bank x"), ("b", "bank x."), (None, "bank xy")], "hay_id string, hay string")
+    n = spark.createDataFrame([("bank x",), ("bank x",)], "needle string")
+    assert sorted(r.hay_id for r in match.contained_pairs(n, h).collect()) == ["a"] * 4 + ["b"]
